@@ -10,7 +10,8 @@ from .quality import op8_quality
 from .repeats import op7_repeats
 from .secrets import op4_secrets
 from .simhash import op1_simhash
+from .toxicity import op6_toxicity
 from .vptree import op3_neighbours
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_secrets, op5_decontamination, op7_repeats, op8_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_secrets, op5_decontamination, op6_toxicity, op7_repeats, op8_quality, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE}
