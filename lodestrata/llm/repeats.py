@@ -7,7 +7,7 @@ reference blocks:
 1. The reference blocks' hashes set bits of a filter of fixed size (32 MB), which all tasks can hold whatever the input.
 2. Rolling runs that pass the filter are counted by their full hash; those that occur at least twice are the anchors, and
    set the bits of a second filter of the same size.
-3. Around each anchor, hits are extended to the windows that hold it; their 128-bit hashes are counted exactly. Filters
+3. Around each anchor, hits are extended to the windows that hold it; their 96-bit hashes are counted. Filters
    only spare work: a false hit makes a window be counted, never be removed. As the input outgrows the filters, more is
    counted; results stay exact.
 4. Windows found twice are gathered by text (a hash of the whole text, so copies share them) and words are removed.
@@ -17,12 +17,14 @@ Texts that occur many times in a batch are taken once, with their number.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,6 +33,8 @@ from .kernels import slices, tokenize, windows
 WINDOW = 35
 #: Bits of a filter (log), and of the piece of it that one task makes.
 FILTER_LOG, PIECE_LOG = 28, 20
+#: Bytes of text for each range of window hashes; windows that a task holds before it sends them.
+RANGE, HELD = 8 << 20, 2_000_000
 
 
 def _texts(batches, width):
@@ -100,10 +104,11 @@ def _anchors(width: int, sent):
     return run
 
 
-def _candidates(width: int, sent):
+def _candidates(width: int, sent, ranges: int):
+    """Windows about anchors by range of hash, many in a record: hashes, and for runs of a text its key and places."""
     size = (width + 1) // 2
 
-    def run(batches):
+    def found(batches):
         for w, h, rows, number, b in _texts(batches, width):
             g, at = windows(h, w.first, size)
             hit = at[_passes(sent.value, g)]
@@ -113,19 +118,68 @@ def _candidates(width: int, sent):
             near = np.cumsum(reach[:-1]) > 0
             g1, at = windows(h, w.first, width)
             ok = near[at]
-            if not ok.any():
-                continue
-            g2, _ = windows(h, w.first, width, salt=0x51ED270B)
-            at = at[ok]
-            d = _doc_of(w.first, at)
-            keys = [np.asarray(b.column(c))[rows[d]] for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (g1[ok].view(np.int64), g2[ok].view(np.int64), *keys, (at - w.first[d]).astype(np.int32), number[d].astype(np.int32))], ["g1", "g2", "t1", "t2", "at", "n"]
-            )
+            if ok.any():
+                g2, _ = windows(h, w.first, width, salt=0x51ED270B)
+                at = at[ok]
+                d = _doc_of(w.first, at)
+                t1, t2 = (np.asarray(b.column(c))[rows[d]] for c in (1, 2))
+                yield g1[ok], (g2[ok] >> np.uint64(32)).astype(np.uint32), t1, t2, (at - w.first[d]).astype(np.int32), number[d].astype(np.int32)
+
+    def flush(held):
+        g1, g2, t1, t2, at, n = (np.concatenate(x) for x in zip(*held))
+        part = (g1 >> np.uint64(40)).astype(np.int64) * ranges >> 24
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+        out = []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            o = order[i:j]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(t1[o]) != 0) | (np.diff(t2[o]) != 0)]))
+            body = (np.stack([t1[o[new]], t2[o[new]]]), np.diff(np.append(new, len(o))).astype(np.int32), n[o[new]], np.diff(at[o], prepend=0).astype(np.int32))
+            out.append((int(part[o[0]]), g1[o].tobytes(), g2[o].tobytes(), zlib.compress(pickle.dumps(body, 5), 1)))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["r", "g1", "g2", "places"])
+
+    def run(batches):
+        held, count = [], 0
+        for x in found(batches):
+            held.append(x)
+            count += len(x[0])
+            if count > HELD:
+                yield flush(held)
+                held, count = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
+def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of hashes, the windows found at least twice: for each text their places."""
+    g1, g2, bodies = [], [], []
+    for b in batches:
+        for x, y, z in zip(b.column("g1"), b.column("g2"), b.column("places")):
+            g1.append(np.frombuffer(x.as_py(), np.uint64))
+            g2.append(np.frombuffer(y.as_py(), np.uint32))
+            bodies.append(pickle.loads(zlib.decompress(z.as_py())))
+    sizes = [len(x) for x in g1]
+    g1, g2 = np.concatenate(g1), np.concatenate(g2)
+    n = np.concatenate([np.repeat(x[2], x[1]) for x in bodies])
+    order = np.lexsort((g2, g1))
+    new = np.concatenate([[True], (np.diff(g1[order]) != 0) | (np.diff(g2[order]) != 0)])
+    twice = np.zeros(len(g1), bool)
+    twice[order] = (np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
+    base = 0
+    for size, (keys, m, _, steps) in zip(sizes, bodies):
+        ok = twice[base : base + size]
+        base += size
+        text = np.repeat(np.arange(len(m)), m)[ok]
+        at = np.cumsum(steps).astype(np.int32)[ok]
+        which = np.unique(text)
+        offsets = np.searchsorted(text, np.append(which, len(m)))
+        places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0][which]), pa.array(keys[1][which]), places], ["t1", "t2", "at"])
+
+
 def _finish(width: int):
     def run(batches):
         for b in batches:
@@ -162,9 +216,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = _filter(src.mapInArrow(_blocks(width), "slot long"))
     twice = src.mapInArrow(_anchors(width, first), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     second = _filter(twice.select(F.expr(f"shiftrightunsigned(g, {64 - FILTER_LOG})").alias("slot")))
-    near = src.mapInArrow(_candidates(width, second), "g1 long, g2 long, t1 long, t2 long, at int, n int")
-    near = near.withColumn("all", F.sum("n").over(Window.partitionBy("g1", "g2"))).where("all > 1")
-    marks = near.select("t1", "t2", "at").distinct().groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
+    size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ranges = max(32, min(1 << 24, size // RANGE))
+    near = src.mapInArrow(_candidates(width, second, ranges), "r long, g1 binary, g2 binary, places binary")
+    marks = near.groupBy("r").applyInArrow(_repeated, "t1 long, t2 long, at array<int>").distinct()
+    marks = marks.groupBy("t1", "t2").agg(F.flatten(F.collect_list("at")).alias("starts"))
     out = keyed.join(marks, ["t1", "t2"], "left").select("doc_id", F.col("t").cast("binary").alias("t"), "starts")
     dtype = docs.schema[id_col].dataType.simpleString()
     return out.mapInArrow(_finish(width), f"doc_id {dtype}, n_words long, n_removed long, kept binary")
