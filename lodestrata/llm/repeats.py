@@ -34,7 +34,7 @@ WINDOW = 35
 #: Bits of a filter (log), and of the piece of it that one task makes.
 FILTER_LOG, PIECE_LOG = 28, 20
 #: Bytes of text for each range of window hashes; windows that a task holds before it sends them.
-RANGE, HELD = 8 << 20, 2_000_000
+RANGE, HELD = 8 << 20, 1_000_000
 
 
 def _texts(batches, width):
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = src.mapInArrow(_anchors(width, first), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     second = _filter(twice.select(F.expr(f"shiftrightunsigned(g, {64 - FILTER_LOG})").alias("slot")))
     size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    ranges = max(32, min(1 << 24, size // RANGE))
+    ranges = max(128, min(1 << 24, size // RANGE))
     near = src.mapInArrow(_candidates(width, second, ranges), "r long, g1 binary, g2 binary, places binary")
     marks = near.groupBy("r").applyInArrow(_repeated, "t1 long, t2 long, at array<int>").distinct()
     marks = marks.groupBy("t1", "t2").agg(F.flatten(F.collect_list("at")).alias("starts"))
