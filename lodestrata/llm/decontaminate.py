@@ -95,6 +95,22 @@ def _count(total, w):
     total[DIMS, 0] += len(w.first) - 1
 
 
+def _run_sums(v: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of v over runs of equal labels, by adding neighbours in halving rounds (reduceat is slow on rows)."""
+    while len(label):
+        new = np.concatenate([[True], label[1:] != label[:-1]])
+        if new.all():
+            break
+        here = np.arange(len(label))
+        even = (here - np.maximum.accumulate(np.where(new, here, 0))) & 1 == 0
+        keep = np.flatnonzero(even)
+        pair = np.flatnonzero(~np.append(even, True)[keep + 1])
+        out = v[keep]
+        out[pair] += v[keep[pair] + 1]
+        v, label = out, label[keep]
+    return v, label
+
+
 def _passage_sums(rows: np.ndarray, ids: np.ndarray, idf: np.ndarray, first: np.ndarray, size: int):
     """Sums of rows[ids] over blocks of `size` words that don't cross texts: sums; first word and text of each block; and
     the words that have weight, with the block of each."""
@@ -103,11 +119,11 @@ def _passage_sums(rows: np.ndarray, ids: np.ndarray, idf: np.ndarray, first: np.
     text = np.repeat(np.arange(len(counts)), n)
     at = first[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * size
     keep = np.flatnonzero(idf[ids] > 0)
-    block = np.searchsorted(at, keep, side="right") - 1
+    block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))[keep]
     sums = np.zeros((len(at), rows.shape[1]), np.float32)
     if len(keep):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
-        sums[block[cuts]] = np.add.reduceat(rows[ids[keep]], cuts, axis=0)
+        part, where = _run_sums(rows[ids[keep]], block)
+        sums[where] = part
     return sums, at, text, keep, block
 
 
@@ -127,10 +143,10 @@ def build_space(docs: DataFrame, rank: int = RANK, seed: int = 7) -> Space:
         if not len(keep):
             return
         ids = ids[keep]
-        order = np.argsort(ids, kind="stable")  # sums by word, as runs of the sorted words
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # sums by word, as runs of the sorted words; radix sort
         ids, here = ids[order], here[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-        total[ids[cuts]] += np.add.reduceat(rows[here], cuts, axis=0) * idf[ids[cuts], None]
+        part, where = _run_sums(rows[here], ids)
+        total[where] += part * idf[where, None]
 
     z = _partial("sketch", docs, sketch, rank)[:DIMS]
     noise = 1e-6 * max(np.linalg.norm(z), 1e-6) / np.sqrt(DIMS)
@@ -208,6 +224,7 @@ def _search(src: DataFrame, item_ids: list, texts: list[str], space: Space, cosi
     def run(batches):
         space, q, by_width, by_words, by_rare, known, member_of, have, words, item_ids = sent.value
         member = [set(words[i]) for i in have]
+        least = [PARAPHRASE * len(words[i]) + len(m) - len(words[i]) for i, m in zip(have, member)]  # as in _check
         for b in batches:
             out = []
             for i, j in slices(b.column(0), SLICE):
@@ -217,20 +234,28 @@ def _search(src: DataFrame, item_ids: list, texts: list[str], space: Space, cosi
                     continue
                 blocks, at, text, keep, _ = _passage_sums(space.basis, _buckets(h), space.idf, t.first, BLOCK)
                 dots = blocks @ q.T
-                total = np.concatenate([np.zeros((1, blocks.shape[1]), np.float32), np.cumsum(blocks, axis=0)])
+                # squared lengths of window sums, from running sums of the products of blocks some way apart
+                apart = [np.concatenate([[0.0], np.cumsum(np.einsum("ij,ij->i", blocks[: len(at) - x], blocks[x:]), dtype=np.float64), np.zeros(x)]) for x in range(min(max(by_width, default=0), len(at)))]
                 last = np.searchsorted(text, text, side="right")  # block after the last of the same text
                 best: dict[tuple[int, int], tuple] = {}
                 for wide, rows in by_width.items():
                     if not len(rows):
                         continue
                     stop = np.minimum(np.arange(len(at)) + wide, last)
-                    sums = total[stop] - total[:-1]
-                    size = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+                    here = np.arange(len(at))
+                    square = sum((1 + (x > 0)) * (apart[x][np.maximum(stop - x, here)] - apart[x][here]) for x in range(min(wide, len(at))))
+                    size = np.sqrt(np.maximum(square, 0))
                     part = np.concatenate([np.zeros((1, len(rows)), np.float32), np.cumsum(dots[:, rows], axis=0)])
                     near = part[stop] - part[:-1] >= (cosine * np.maximum(size, 1e-9))[:, None]
+                    held = -1
                     for k, r in zip(*(x.tolist() for x in np.nonzero(near))):
-                        cos = float((part[stop[k], r] - part[k, r]) / max(size[k], 1e-9))
-                        _check(best, h, t.first, int(text[k]), int(at[k]) - BLOCK, int(at[k]) + (wide + 1) * BLOCK, int(rows[r]), cos, have, words, member)
+                        if k != held:  # the words about a block, once for all items
+                            held, lo, hi = k, max(int(at[k]) - BLOCK, int(t.first[text[k]])), min(int(at[k]) + (wide + 1) * BLOCK, int(t.first[text[k] + 1]))
+                            about = set(h[lo:hi].tolist())
+                        which = int(rows[r])
+                        if len(member[which] & about) >= least[which]:
+                            cos = float((part[stop[k], r] - part[k, r]) / max(size[k], 1e-9))
+                            _check(best, h, t.first, int(text[k]), lo, hi, which, cos, have, words, member)
                 for r, place in _rare_places(h, keep, t.first, known, member_of, by_rare, words, have):
                     long = len(words[have[r]])
                     _check(best, h, t.first, int(np.searchsorted(t.first, place, side="right")) - 1, place - long - BLOCK, place + long + BLOCK, r, 0.0, have, words, member)
