@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .kernels import mix, tokenize
+from .kernels import mix, slices, tokenize
 
 DEPTH, BLOCK, SHARD = 8, 64, 12 << 20
 NODES = 1 << DEPTH
@@ -108,24 +108,18 @@ def _stats(ranges: int):
         tables = np.zeros((2, NODES * CONTEXTS, 2), np.uint32)
         pairs = np.zeros(257 * 257, np.int64)
         names, counts = [], []
-        for b in batches:
-            t = tokens(b.column("t"))
-            learn = np.repeat(np.asarray(b.column("learn")), np.diff(t.first))
+        for t, learn in ((tokens(b.column("t").slice(i, j - i)), b.column("learn").slice(i, j - i)) for b in batches for i, j in slices(b.column("t"), 2 << 20)):
+            learn = np.repeat(np.asarray(learn), np.diff(t.first))
             name, at, inverse = np.unique(t.h, return_index=True, return_inverse=True)
             names.append(name)
-            counts.append(np.bincount(inverse, learn, len(name)).astype(np.int64))
+            counts.append(np.bincount(inverse, learn, len(name)).astype(np.uint32))
             if learn.any():
                 path = _paths(t.h[learn])
+                depth = np.arange(DEPTH)
+                places = ((1 << depth) + (path[:, None] >> (DEPTH - depth))) * (2 * CONTEXTS) + (path[:, None] >> (DEPTH - 1 - depth) & 1)
                 for k, ctx in enumerate((t.before[learn], t.endings[learn])):
-                    for d in range(DEPTH):
-                        node = (1 << d) + (path >> (DEPTH - d)) if d else np.ones(len(path), np.int64)
-                        bit = path >> (DEPTH - 1 - d) & 1
-                        n = np.bincount((node * CONTEXTS + ctx) * 2 + bit, minlength=tables[k].size) if len(path) > 1 << 18 else None
-                        if n is None:
-                            np.add.at(tables[k].reshape(-1), (node * CONTEXTS + ctx) * 2 + bit, 1)
-                        else:
-                            tables[k] += n.reshape(-1, 2).astype(np.uint32)
-                # spelling: of each distinct word of the batch
+                    tables[k] += np.bincount((places + 2 * ctx[:, None]).ravel(), minlength=tables[k].size).reshape(-1, 2).astype(np.uint32)
+                # spelling: of each distinct word of the piece
                 word_no = np.cumsum(t.is_word) - 1
                 known = (counts[-1] > 0) & t.is_word[at]
                 pairs += np.bincount(_spell_pairs(t, word_no[at[known]])[0], minlength=len(pairs))
@@ -181,7 +175,7 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 
 @dataclass
 class Model:
-    tables: np.ndarray  # 2 x (NODES * CONTEXTS) x 2
+    logits: np.ndarray  # 2 x (NODES * CONTEXTS): of bit 1 at a node after a context, backed off to the node's own odds
     spelling: np.ndarray  # log10 probability of a byte after another, 257 * 257
     total: int
     distinct: int
@@ -217,7 +211,8 @@ def score_tokens(m: Model, t: Tokens, count: np.ndarray) -> tuple[np.ndarray, np
     gates = np.broadcast_to(np.array(START, np.float32), (texts, DEPTH * 2, 3)).copy()
     order = np.argsort(-size, kind="stable")
     alive = np.cumsum(np.bincount(-(-size // BLOCK))[::-1])[::-1]  # texts with at least so many blocks
-    eps = 1e-4
+    eps = np.float32(1e-4)
+    odds = m.odds.astype(np.float32)
     for step in range(int(-(-size.max() // BLOCK)) if texts else 0):
         who = order[: int(alive[step + 1])]
         n = np.minimum(size[who] - step * BLOCK, BLOCK)
@@ -238,27 +233,26 @@ def score_tokens(m: Model, t: Tokens, count: np.ndarray) -> tuple[np.ndarray, np
         for depth in range(DEPTH):
             node = (1 << depth) + (full >> (DEPTH - depth)) if depth else np.ones(len(full), np.int64)
             bit = full >> (DEPTH - 1 - depth) & 1
-            p0 = m.odds[node]
-            n1, n2 = m.tables[0][node * CONTEXTS + c1], m.tables[1][node * CONTEXTS + c2]
             mine = own[d, node]
-            x = np.empty((len(d), 3), np.float32)
-            for i, (counts, back) in enumerate(((n1, BACKOFF), (n2, BACKOFF), (mine, OWN))):
-                x[:, i] = _logit((counts[:, 1] + back * p0) / (counts[:, 0] + counts[:, 1] + back))
-            np.clip(x, -9, 9, out=x)
+            x = np.empty((3, len(d)), np.float32)
+            x[0], x[1] = m.logits[0][node * CONTEXTS + c1], m.logits[1][node * CONTEXTS + c2]
+            p1 = (mine[:, 1] + OWN * odds[node]) / (mine[:, 0] + mine[:, 1] + np.float32(OWN))
+            x[2] = np.log(p1 / (1 - p1))
             gate = depth * 2 + shown
-            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", gates[d, gate], x)))
+            w = gates[d, gate]
+            p = 1 / (1 + np.exp(-(w[:, 0] * x[0] + w[:, 1] * x[1] + w[:, 2] * x[2])))
             np.clip(p, eps, 1 - eps, out=p)
             total += np.log10(np.where(bit == 1, p, 1 - p))
-            grad.append((bit - p)[:, None] * x)
+            grad.append((bit.astype(np.float32) - p) * x)
             uses.append(d * (DEPTH * 2) + gate)
             seen.append((d * NODES + node) * 2 + bit)
         out += np.bincount(d, total, texts)
-        step_up, used = np.concatenate(grad), np.concatenate(uses)
+        step_up, used = np.concatenate(grad, axis=1), np.concatenate(uses)
         flat = gates.reshape(-1, 3)
         for i in range(3):
-            flat[:, i] += (RATE * np.bincount(used, step_up[:, i], len(flat))).astype(np.float32)
+            flat[:, i] += (RATE * np.bincount(used, step_up[i], len(flat))).astype(np.float32)
         np.clip(flat, -1, 2.5, out=flat)
-        np.add.at(own.reshape(-1), np.concatenate(seen), 1)
+        np.add.at(own.reshape(-1), np.concatenate(seen), np.float32(1))
     return out, spelling
 
 
@@ -273,17 +267,19 @@ def _scorer(sent):
         base, full, spelt, sizes, knowns, bits = (np.zeros(n) for _ in range(6))
         texts = left.column("t").combine_chunks()
         whole = m.total + 0.5 * (m.distinct + 1)
-        for i in range(0, n, 1024):
-            j = min(n, i + 1024)
-            piece = texts.slice(i, j - i)
-            t = tokens(piece)
+        # texts of like lengths together, so that few are scored alone to their end
+        width = np.array([len(x.as_py().encode()) for x in texts], np.int64)
+        by = np.argsort(width, kind="stable")
+        bits[:] = width
+        for i, j in slices(texts.take(pa.array(by)), 3 << 20):
+            rows = by[i:j]
+            t = tokens(texts.take(pa.array(rows)))
             count = have[np.searchsorted(name, t.h)]
             size = np.diff(t.first)
-            base[i:j] = np.add.reduceat(np.log10((count + 0.5) / whole), t.first[:-1])
-            knowns[i:j] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
-            sizes[i:j] = size
-            full[i:j], spelt[i:j] = score_tokens(m, t, count)
-            bits[i:j] = [len(x.as_py().encode()) for x in piece]
+            base[rows] = np.add.reduceat(np.log10((count + 0.5) / whole), t.first[:-1])
+            knowns[rows] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
+            sizes[rows] = size
+            full[rows], spelt[rows] = score_tokens(m, t, count)
         per_byte = np.where(bits > 0, -(full + spelt) / np.log10(2) / np.maximum(bits, 1), np.nan)
         return pa.table(
             [left.column("id"), left.column("learn"), pa.array(sizes.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base), pa.array(full), pa.array(per_byte, from_pandas=True)],
@@ -345,7 +341,9 @@ def _model(parts: dict, sums: dict) -> Model:
     odds = np.full(NODES, 0.5)
     inner = np.arange(1, NODES)
     odds[inner] = np.clip((heap[2 * inner + 1] + 1e-3) / (heap[inner] + 2e-3), 1e-4, 1 - 1e-4)
-    return Model(tables, spelling, n, v, min(max((once + 0.5) / (n + 1.0), 1e-6), 0.5), mass, odds.astype(np.float64))
+    back = BACKOFF * np.repeat(odds, CONTEXTS)
+    logits = np.stack([_logit((x[:, 1] + back) / (x[:, 0] + x[:, 1] + BACKOFF)) for x in tables]).astype(np.float32)
+    return Model(np.clip(logits, -9, 9), spelling, n, v, min(max((once + 0.5) / (n + 1.0), 1e-6), 0.5), mass, odds.astype(np.float64))
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
