@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table, words_of
+from .common import LOWER, UPPER, cut, table
 
 SYMBOLS = "%&*$#@^~<>{}[]\\=+_"
 #: Labelled rows that the document classifier is fitted on, at most (those with the least hash of their id).
@@ -20,26 +20,32 @@ MAX_LABELS = 20_000
 EPS = 1e-4
 
 
-def features(text: Column) -> list[Column]:
-    """Surface features of a text as expressions; all are bounded, and defined for null and empty texts."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+#: One letter for each class of characters that is counted.
+_CLASSES = {"S": SYMBOLS, "B": "!", "P": "|", "U": UPPER, "D": "0123456789", "L": LOWER}
 
-    def share(chars: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / n
 
-    words = words_of(t)
-    count = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lines = F.split(t, "\n")
+def with_parts(df: DataFrame, text: str) -> DataFrame:
+    """`df` with what features are made of: _m, the text with counted characters replaced by their class, and _w, its words.
+
+    They are columns of their own so that each is computed once for a row.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumns({"_m": F.translate(t, "".join(_CLASSES.values()), "".join(k * len(v) for k, v in _CLASSES.items())), "_w": F.filter(F.split(F.translate(t, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), "_l": F.split(t, "\n")})
+
+
+def features() -> list[Column]:
+    """Surface features as expressions of _m, _w and _l; all are bounded, and defined for null and empty texts."""
+    n = F.greatest(F.length("_m"), F.lit(1)).cast("double")
+
+    def share(kind: str) -> Column:
+        return (F.length("_m") - F.length(F.replace(F.col("_m"), F.lit(kind), F.lit("")))) / n
+
+    count = F.greatest(F.size("_w"), F.lit(1)).cast("double")
     return [
-        F.sqrt(share(SYMBOLS)),
-        F.sqrt(share("!")),
-        F.sqrt(share("|")),
-        F.sqrt(share(UPPER)),
-        F.sqrt(share("0123456789")),
-        share(LOWER),
-        F.size(F.array_distinct(words)) / F.pow(count, F.lit(0.9)),
-        F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
+        *(F.sqrt(share(k)) for k in "SBPUD"),
+        share("L"),
+        F.size(F.array_distinct("_w")) / F.pow(count, F.lit(0.9)),
+        F.size(F.array_distinct("_l")) / F.size("_l").cast("double"),
         F.least(n / count, F.lit(40.0)) / 40,
         F.log10(n) / 10,
     ]
@@ -53,10 +59,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
     """
     y = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
     y = y.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labels)  # the documented bound on training rows
-    x = docs.select(F.col(id_col).cast("long").alias("_id"), F.array(*features(F.col(text_col))).alias("_x"))
-    rows = x.join(F.broadcast(y), "_id").select("_x", "_y").toPandas()
+    x = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(y), "_id")
+    rows = with_parts(x, "_t").select(F.array(*features()).alias("_x"), "_y").toPandas()
     if rows["_y"].nunique() < 2:
-        return np.zeros(len(features(F.lit(""))) + 1)
+        return np.zeros(len(features()) + 1)
     X = np.column_stack([np.array(rows["_x"].tolist()), np.ones(len(rows))])
     t, w = rows["_y"].to_numpy(float), np.zeros(X.shape[1])
     ridge = np.diag([0.05] * (X.shape[1] - 1) + [1e-6])
@@ -69,9 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
     return w
 
 
-def own_evidence(text: Column, w: np.ndarray) -> Column:
+def own_evidence(w: np.ndarray) -> Column:
+    """The probability that a document is good by itself, from the columns of with_parts."""
     z = F.lit(float(w[-1]))
-    for f, k in zip(features(text), w[:-1], strict=True):
+    for f, k in zip(features(), w[:-1], strict=True):
         z = z + f * float(k)
     p = 1 / (1 + F.exp(-z))
     return F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
@@ -111,24 +118,27 @@ def classify(
     path: Column | None = None,
     threshold: float = 0.5,
     max_labels: int = MAX_LABELS,
+    carry: bool = True,
 ) -> DataFrame:
     """`docs` with columns host, path, own_score, host_posterior, path_posterior, quality_score and keep.
 
     Columns of these names in `docs` are replaced. host and path are the source, and the source with the language,
     unless given; nulls in them count as one host or path of their own (the empty string). Null and empty texts get a
     score like any other; repeated rows are scored alike; an empty table gives an empty result. A document is kept if
-    its score is at least `threshold`.
+    its score is at least `threshold`. Without `carry` the text itself is left out of the result.
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
     w = fit(docs, labels, max_labels, id_col, text_col)
     keys = [F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path")]
-    mine = own_evidence(F.col(text_col), w).alias("p")
-    paths, m, k = posteriors(docs.select(*keys, mine))
+    mine = own_evidence(w).alias("p")
+    lean = with_parts(docs.select(*keys, F.col(text_col).alias("_t")), "_t")
+    paths, m, k = posteriors(lean.select("host", "path", mine))
     names = ("host", "path", "own_score", "host_posterior", "path_posterior", "quality_score", "keep")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names and (carry or c != text_col)]
     row = F.struct(*(docs[c] for c in kept)) if kept else F.struct(F.lit(0))
-    each = docs.select(row.alias("_row"), *(x.alias(f"_{n}") for x, n in zip((*keys, mine), ("host", "path", "p"), strict=True)))
+    each = with_parts(docs.select(row.alias("_row"), keys[0].alias("_host"), keys[1].alias("_path"), F.col(text_col).alias("_t")), "_t")
+    each = each.select("_row", "_host", "_path", mine.alias("_p"))
     prior = paths.select(F.col("host").alias("_h"), F.col("path").alias("_l"), "s", "n", F.col("host_posterior").alias("_hp"))
     each = each.join(prior, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_l")))
     others = (F.lit(k) * F.col("_hp") + F.col("s") - F.col("_p")) / (F.lit(k) + F.col("n") - 1)
@@ -147,4 +157,4 @@ def classify(
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "host", "path", "own_score", "host_posterior", "path_posterior", "quality_score", "keep")
+    return classify(docs, table(spark, sf_dir, "labels"), carry=False).select("doc_id", "host", "path", "own_score", "host_posterior", "path_posterior", "quality_score", "keep")
