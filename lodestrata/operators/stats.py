@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Inclusive upper bounds of the latency buckets in nanoseconds, three a decade but for the ends.
-BOUNDS = [1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 100_000, 200_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000, 20_000_000, 50_000_000, 100_000_000, 200_000_000, 300_000_000, 500_000_000, 700_000_000, 1_000_000_000]
+# Inclusive upper bounds of the latency buckets in nanoseconds, doubling within a decade of three.
+BOUNDS = [
+    1_000, 2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 128_000, 256_000, 512_000,
+    1_000_000, 2_000_000, 4_000_000, 8_000_000, 16_000_000, 32_000_000, 64_000_000, 128_000_000, 256_000_000, 512_000_000,
+    1_000_000_000,
+]
 OVERFLOW = 2 * BOUNDS[-1]
 
 
