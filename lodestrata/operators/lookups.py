@@ -88,3 +88,32 @@ def closure(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     j = r.join(chunks.select("key", F.col("size").alias("have")), "key", "full_outer")
     problem = F.when(F.col("have").isNull(), "missing").when(F.col("lo").isNull(), "unreferenced").when((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("have")), "size")
     return j.select("key", problem.alias("problem")).where("problem is not null")
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Each left row with the value of the last right row of its key at or before it, null if there is none; of right rows
+    at one place the largest value counts. Both sides go through one sorted pass, no row meets another in a range join."""
+    cols = left.columns
+    both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_r": F.lit(1)}).unionByName(right.select(*by, order, F.col(value).alias("_v"), F.lit(0).alias("_r")), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(order, "_r", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("matched", F.last("_v", ignorenulls=True).over(w)).where("_r = 1").select(*cols, "matched")
+
+
+def append_generation(generations: DataFrame, name: str) -> DataFrame:
+    """Generations (generation, ord) with a new one at the end; a name that is there already, or is not made of letters,
+    digits, dots, dashes and underscores, is an error."""
+    n = F.lit(name)
+    g = generations.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).cast("bigint").alias("ord"), F.coalesce(F.bool_or(F.col("generation") == n), F.lit(False)).alias("_there"))
+    bad = F.col("_there") | ~n.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    new = g.select(F.when(bad, F.raise_error("a generation of that name cannot be added")).otherwise(n).alias("generation"), "ord")
+    return generations.select("generation", F.col("ord").cast("bigint").alias("ord")).unionByName(new)
+
+
+def admit(requests: DataFrame, generations: DataFrame) -> DataFrame:
+    """Writes (request, generation) with the generation they go to: the newest if none is named, else the named one, if it
+    is a current one: (request, admitted, refused)."""
+    newest = generations.agg(F.max_by("generation", "ord").alias("_new"))  # one row
+    r = requests.withColumn("generation", F.nullif("generation", F.lit("")))
+    r = r.join(generations.select("generation", F.lit(True).alias("_ok")).distinct(), "generation", "left").join(F.broadcast(newest), F.lit(True))
+    to = F.when(F.col("generation").isNull(), F.col("_new")).when(F.col("_ok"), F.col("generation"))
+    return r.select("request", to.alias("admitted"), to.isNull().alias("refused"))

@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import cdc
 from ..operators import chunks as ch
 from ..operators import intervals as iv
 from ..operators import lookups as lk
+from ..operators import objects as ob
 from ..operators import paths as pt
 from ..operators import placement as pl
+from ..operators import reading as rd
 from ..operators import stats as st
+from ..streaming import rates as sr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -436,7 +440,10 @@ def counter_delta(x):
     return st.counter_deltas(s, ["user_id"], "event_id", ["c"], ["ns"])
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS ops, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) * 1000 // count(*) AS hit_milli, CAST(sum(bytes) AS BIGINT) AS bytes, round(count(*) / 3600, 6) AS ops_per_s FROM {access} GROUP BY 1")
+RATES = "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS ops, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) * 1000 // count(*) AS hit_milli, CAST(sum(bytes) AS BIGINT) AS bytes, round(count(*) / 3600, 6) AS ops_per_s FROM {access} GROUP BY 1"
+
+
+@query(RATES)
 def windowed_rates(x):
     return st.window_rates(x["access"], "ts", "1 hour", 3600)
 
@@ -637,6 +644,120 @@ def format_times(x):
     return x["access"].select("event_id", sc.format_ns(v).alias("t"), sc.error_class(F.col("event_type")).alias("err"))
 
 
+# --- content-defined chunks, physical forms, reads -------------------------------------------------------------------
+
+CDC_SIZES = (4096, 16384, 65536)
+
+
+def _segments(x: Inputs) -> DataFrame:
+    """Images of the texts of 64 neighbouring documents each, as one segment."""
+    d = x["documents"].select(F.expr("doc_id div 64").alias("image"), "doc_id", F.encode("text", "utf-8").alias("t"))
+    return d.groupBy("image").agg(F.expr("listagg(t) WITHIN GROUP (ORDER BY doc_id)").alias("data")).select("image", F.lit(0).alias("segment"), F.lit(0).cast("long").alias("start"), "data")
+
+
+@query()
+def chunk_cdc(x):
+    return cdc.content_defined(_segments(x), CDC_SIZES).select("image", "ordinal", "start", "size", "key")
+
+
+@query("SELECT doc_id // 64 AS image, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size FROM {documents} GROUP BY doc_id // 64")
+def cdc_tiles(x):
+    """Content-defined chunks follow each other without gaps: the sum of their sizes, where each starts at the sum before."""
+    c = cdc.content_defined(_segments(x), CDC_SIZES)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("image").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return c.withColumn("ok", F.col("start") == before).where("ok").groupBy("image").agg(F.sum("size").alias("size"))
+
+
+@query()
+def cdc_quality(x):
+    c = cdc.content_defined(_segments(x), CDC_SIZES)
+    return cdc.quality(c.withColumn("parity", F.col("image") % 2), "parity", CDC_SIZES)
+
+
+@query("SELECT doc_id, sha256(encode(text)) AS restored, sha256(encode('salt') || encode(text)) AS chunk_key FROM {documents} WHERE octet_length(encode(text)) > 0")
+def chunk_objects(x):
+    """Texts through the physical form of chunks and back."""
+    d = x["documents"].select("doc_id", F.encode("text", "utf-8").alias("data")).where("octet_length(data) > 0").withColumn("size", F.octet_length("data").cast("long"))
+    back = ob.decode_chunks(ob.encode_chunks(d, F.lit(b"salt")).drop("data"))
+    return back.select("doc_id", F.sha2("data", 256).alias("restored"), F.lower(F.hex("chunk_key")).alias("chunk_key"))
+
+
+@query("SELECT doc_id, sha256(encode(text)) AS restored FROM {documents}")
+def key_table_seal(x):
+    """Texts sealed under a key of their source, with their language as what they belong to, and back."""
+    key, d, a = F.unhex(F.sha2(F.encode("source", "utf-8"), 256)), F.encode("text", "utf-8"), F.encode("lang", "utf-8")
+    s = x["documents"].select("doc_id", key.alias("k"), a.alias("a"), ob.seal(key, d, a).alias("s"))
+    return s.select("doc_id", F.sha2(ob.unseal(F.col("k"), F.col("s"), F.col("a")), 256).alias("restored"))
+
+
+@query(C + 'SELECT image, ordinal, ordinal * 512 AS "start", size, key AS object_key FROM c')
+def manifest_codec(x):
+    """Manifests of the fixed chunks of documents in their binary form and back."""
+    c = _chunks(x).select("image", F.col("start").cast("long").alias("start"), "size", F.lit(False).alias("is_zero"), F.col("key").alias("object_key"))
+    images = c.groupBy("image").agg(F.lit(2).alias("mode"), F.sum("size").alias("size"), F.lit(CHUNK).alias("least"), F.lit(CHUNK).alias("largest"))
+    holes = c.where("false").select("image", "start", F.col("start").alias("end"))
+    m = ob.decode_manifests(ob.encode_manifests(images, c, holes))
+    e = m.select("image", F.posexplode("m.entries").alias("ordinal", "e"))
+    return e.select("image", F.col("ordinal").cast("long").alias("ordinal"), "e.start", "e.size", "e.object_key")
+
+
+@query(C + """, q AS (SELECT doc_id AS request, CAST(octet_length(encode(text)) AS BIGINT) AS size, doc_id * 37 % 1500 AS a, doc_id * 37 % 1500 + 700 AS b FROM documents),
+    p AS (SELECT q.request, greatest(c.ordinal * 512, q.a) AS s, least(c.ordinal * 512 + c.size, q.b) AS e, c.ordinal, c.data FROM q JOIN c ON c.image = q.request AND c.ordinal * 512 < q.b AND c.ordinal * 512 + c.size > q.a),
+    h AS (SELECT request, sum(e - s) AS n, string_agg(CASE WHEN ordinal % 3 = 1 THEN repeat('00', CAST(e - s AS INT)) ELSE hex(data[s - ordinal * 512 + 1:e - ordinal * 512]) END, '' ORDER BY s) AS h FROM p GROUP BY request)
+    SELECT q.request, CAST(coalesce(h.n, 0) AS BIGINT) AS n, coalesce(h.h, '') AS h FROM q LEFT JOIN h ON h.request = q.request""")
+def read_ranges(x):
+    """Reads of 700 bytes of each document, of whose chunks every third is a hole."""
+    c = _chunks(x).withColumn("chunk", F.concat_ws(":", "image", "ordinal"))
+    runs = c.select("image", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).alias("end"), F.when(F.col("ordinal") % 3 == 1, iv.HOLE).otherwise(iv.DATA).alias("kind"), "chunk", F.col("start").cast("long").alias("chunk_start"))
+    d = x["documents"].select(F.col("doc_id").alias("image"), F.octet_length(F.encode("text", "utf-8")).cast("long").alias("size"))
+    q = d.select(F.col("image").alias("request"), "image", (F.col("image") * 37 % 1500).alias("offset"), F.lit(700).cast("long").alias("length"))
+    r = rd.read_at(q, runs, d, c.select("chunk", "data"), 4096)
+    return r.select("request", "n", F.hex("data").alias("h"))
+
+
+@query("""WITH a AS (SELECT DISTINCT image % 500 AS image, off FROM {points}), t AS (SELECT a.image, a.off, l.layer, l.kind, l.s, l.e, row_number() OVER (PARTITION BY a.image, a.off ORDER BY l.layer) AS k
+    FROM a JOIN {layers} l ON l.image = a.image AND l.s <= a.off AND l.e > a.off AND l.kind <> 0), d AS (SELECT * FROM t WHERE k = 1 AND kind = 2)
+    SELECT d.image, d.off AS "offset", d.layer, d.s AS chunk, CASE WHEN d.e - d.s > 16384 THEN d.off ELSE greatest(d.s, coalesce(max(u.e) FILTER (u.e <= d.off), 0)) END AS "start", least(d.e, coalesce(min(u.s) FILTER (u.s > d.off), d.e)) AS "end"
+    FROM d LEFT JOIN {layers} u ON u.image = d.image AND u.layer < d.layer AND u.kind <> 0 GROUP BY d.image, d.off, d.layer, d.s, d.e""")
+def chunk_window(x):
+    l = x["layers"].withColumn("chunk", F.col("start"))
+    anchors = x["points"].select((F.col("image") % 500).cast("long").alias("image"), F.col("off").alias("offset")).distinct()
+    chunks = l.where(F.col("kind") == iv.DATA).select("image", "layer", "chunk", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
+    return rd.chunk_windows(anchors, iv.overlay(l), chunks, 16384, 1 << 14)
+
+
+@query("SELECT image, s AS \"start\", CASE WHEN kind = 2 THEN 'data' WHEN kind = 0 AND e - s >= 4096 THEN 'skip' ELSE 'zeros' END AS write FROM {runs}")
+def hole_fill(x):
+    return rd.fill_holes(x["runs"], punch=True).select("image", "start", "write")
+
+
+@query(RATES)
+def windowed_rates_stream(x):
+    """`windowed_rates` as a stream over the same file, run until it is drained."""
+    s = x.spark.readStream.schema(x["events"].schema).option("pathGlobFilter", "events*.parquet").parquet(x.dir)
+    a = s.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 == 0).alias("hit"), F.floor(F.col("value") * 10).cast("long").alias("bytes"))
+    return sr.drain(x.spark, sr.rates(a, "ts", "1 hour", 3600, "1 hour")).withColumn("window_start", F.col("window_start").cast(x["events"].schema["ts"].dataType))
+
+
+@query("SELECT l.event_id, max(r.event_id) FILTER (r.ts = l.m) AS matched FROM (SELECT a.event_id, a.user_id, max(b.ts) AS m FROM {access} a LEFT JOIN {access} b ON b.user_id = a.user_id AND b.event_id % 2 = 1 AND b.ts <= a.ts WHERE a.event_id % 2 = 0 GROUP BY a.event_id, a.user_id) l LEFT JOIN {access} r ON r.user_id = l.user_id AND r.event_id % 2 = 1 AND r.ts = l.m GROUP BY l.event_id")
+def as_of_join(x):
+    a = x["access"].select("event_id", "user_id", "ts")
+    return lk.as_of(a.where("event_id % 2 = 0"), a.where("event_id % 2 = 1"), ["user_id"], "ts", "event_id").select("event_id", "matched")
+
+
+@query("SELECT o_orderkey AS request, CASE WHEN o_orderkey % 7 = 5 THEN NULL WHEN o_orderkey % 7 = 6 THEN 'g4' ELSE 'g' || CAST(o_orderkey % 7 AS VARCHAR) END AS admitted, o_orderkey % 7 = 5 AS refused FROM {orders}")
+def admit_write(x):
+    g = x["objects"].select(F.concat(F.lit("g"), F.col("ord").cast("string")).alias("generation"), "ord").distinct()
+    name = F.when(F.col("o_orderkey") % 7 == 6, "").otherwise(F.concat(F.lit("g"), (F.col("o_orderkey") % 7).cast("string")))
+    return lk.admit(x["orders"].select(F.col("o_orderkey").alias("request"), name.alias("generation")), g)
+
+
+@query("SELECT DISTINCT 'g' || CAST(ord AS VARCHAR) AS generation, ord FROM {objects} UNION ALL SELECT 'next', max(ord) + 1 FROM {objects}")
+def generation_append(x):
+    g = x["objects"].select(F.concat(F.lit("g"), F.col("ord").cast("string")).alias("generation"), "ord").distinct()
+    return lk.append_generation(g, "next")
+
+
 # --- the relational surface: extensions beyond the operators above ---------------------------------------------------
 
 
@@ -656,3 +777,14 @@ _both("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(DISTINC
 _both("win_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}")
 _both("set_ops", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier} EXCEPT SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1")
 _both("topk_per_group", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS k FROM {lineitem}) t WHERE k <= 2")
+_both("join_range", "SELECT p_partkey, s_suppkey FROM {part} p JOIN {supplier} s ON p.p_size = s.s_nationkey AND s.s_suppkey BETWEEN p.p_partkey - 40 AND p.p_partkey + 40")
+_both("agg_hash", "SELECT l_returnflag, count(*) AS n, min(l_partkey) AS lo, max(l_partkey) AS hi FROM {lineitem} GROUP BY l_returnflag")
+_both("agg_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS states FROM {orders} GROUP BY o_orderpriority")
+_both("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_both("win_running", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM {orders}")
+_both("win_frame", "SELECT event_id, max(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM {events}")
+_both("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
+_both("topk_global", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+_both("fn_string", "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_type, 2, 3) AS s, replace(p_brand, '#', '-') AS r, trim(concat('  ', p_brand)) AS t FROM {part}")
+_both("fn_date", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q FROM {orders}")
+_both("fn_math", "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, CAST(floor(sqrt(p_size)) AS BIGINT) AS r, greatest(p_size, 10) AS g FROM {part}")
