@@ -188,13 +188,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Repeated rows of that id are reduced to one. Rows with a null id cannot be told apart and are kept.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, width, bits))
+    return keep_first(docs, cut(near_duplicates(docs, id_col, text_col, width, bits)), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each class of `found` (doc_id, component_id), and the rows of `docs` with a null id."""
     stay = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
     same = docs[id_col].cast("long") == stay["doc_id"]
     out = docs.join(stay.where("times = 1"), same, "left_semi")
     if stay.where("times > 1").head(1):
         out = out.unionByName(docs.join(stay.where("times > 1"), same, "left_semi").dropDuplicates([id_col]))
-    if found.where("doc_id is null").head(1):
+    if docs.where(docs[id_col].isNull()).head(1):
         out = out.unionByName(docs.where(docs[id_col].isNull()))
     return out
 
