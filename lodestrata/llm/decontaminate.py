@@ -40,8 +40,10 @@ ITEMS = 4096
 PASSAGE = 32
 #: Least cosine of a candidate, least share of an item's words in common for a verbatim leak, and for a paraphrase.
 COSINE, VERBATIM, PARAPHRASE, ANSWER_SHARE = 0.4, 0.8, 0.6, 0.8
-#: Items with fewer words of weight are found by these words.
+#: Items with fewer words of weight are found by these words, and by their distinct words of any weight.
 FEW = 9
+#: Items that are held against a slice's distinct words at once.
+TYPED = 128
 #: Words at the end of an item that count as its answer.
 ANSWER = 6
 
@@ -208,7 +210,8 @@ def _search(src: DataFrame, item_ids: list, texts: list[str], space: Space, cosi
     for r, i in enumerate(have):
         q[r] = space.basis[_buckets(np.array(words[i], np.uint64))].sum(axis=0)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    #: items with few words of weight hardly stand out: places with half of these words are checked instead
+    #: items with few words of weight hardly stand out: places with half of these words are checked instead, and all places
+    #: that hold as many of their distinct words as the rules need
     weighty = [[x for x in words[i] if space.idf[_buckets(np.array([x], np.uint64))[0]] > 0] for i in have]
     weak = np.array([len(x) < FEW for x in weighty], bool)
     by_rare = [(int(r), -(-len(weighty[r]) // 2)) for r in np.flatnonzero(weak) if weighty[r]]
@@ -218,11 +221,11 @@ def _search(src: DataFrame, item_ids: list, texts: list[str], space: Space, cosi
     #: window widths in blocks: all but three words of an item fit, wherever in a block it starts
     pick = -(-(sizes + BLOCK // 2) // BLOCK)
     by_width = {int(x): np.flatnonzero((pick == x) & ~weak) for x in np.unique(pick)}
-    by_words = [(int(r), int(pick[r]), np.unique(np.array(words[have[r]], np.uint64))) for r in np.flatnonzero(weak) if not weighty[r]]
-    sent = src.sparkSession.sparkContext.broadcast((space, q, by_width, by_words, by_rare, known, member_of, have, words, item_ids))
+    by_types = _groups_of_types(np.flatnonzero(weak), pick, [words[i] for i in have])
+    sent = src.sparkSession.sparkContext.broadcast((space, q, by_width, by_types, by_rare, known, member_of, have, words, item_ids))
 
     def run(batches):
-        space, q, by_width, by_words, by_rare, known, member_of, have, words, item_ids = sent.value
+        space, q, by_width, by_types, by_rare, known, member_of, have, words, item_ids = sent.value
         member = [set(words[i]) for i in have]
         least = [PARAPHRASE * len(words[i]) + len(m) - len(words[i]) for i, m in zip(have, member)]  # as in _check
         for b in batches:
@@ -259,11 +262,8 @@ def _search(src: DataFrame, item_ids: list, texts: list[str], space: Space, cosi
                 for r, place in _rare_places(h, keep, t.first, known, member_of, by_rare, words, have):
                     long = len(words[have[r]])
                     _check(best, h, t.first, int(np.searchsorted(t.first, place, side="right")) - 1, place - long - BLOCK, place + long + BLOCK, r, 0.0, have, words, member)
-                for r, wide, mine in by_words:
-                    seen = np.concatenate([[0], np.cumsum(np.isin(h, mine))])
-                    stop = np.minimum(at + (wide + 1) * BLOCK, t.first[text + 1])
-                    for k in np.flatnonzero(seen[stop] - seen[np.maximum(at - BLOCK, t.first[text])] >= PARAPHRASE * len(words[have[r]])).tolist():
-                        _check(best, h, t.first, int(text[k]), int(at[k]) - BLOCK, int(at[k]) + (wide + 1) * BLOCK, r, 0.0, have, words, member)
+                for k, r, wide in _type_places(h, at, text, by_types):
+                    _check(best, h, t.first, int(text[k]), int(at[k]) - BLOCK, int(at[k]) + (wide + 1) * BLOCK, r, 0.0, have, words, member)
                 for (d, r), (share, answer, place, c) in sorted(best.items()):
                     out.append((b.column(1)[i + d].as_py(), item_ids[have[r]], place, c, share, answer, "verbatim" if share >= VERBATIM else "paraphrase"))
             cols = list(zip(*out)) if out else [[]] * 7
@@ -290,6 +290,41 @@ def _rare_places(h, keep, first, known, member_of, by_rare, words, have):
             yield from ((r, x) for x in a[same].tolist())
 
 
+def _groups_of_types(weak, pick, words: list[list[int]]) -> list[tuple]:
+    """Items of equal width, at most TYPED together: width, items, their distinct words, which of them each item and its
+    answer have, and how many of these a window must hold at least for each rule (a missing word costs a place or more)."""
+    out = []
+    for wide in np.unique(pick[weak]).tolist():
+        same = [int(r) for r in weak if pick[r] == wide]
+        for rows in (same[i : i + TYPED] for i in range(0, len(same), TYPED)):
+            known = np.unique(np.array([x for r in rows for x in words[r]], np.uint64))
+            whole, ends = [words[r] for r in rows], [words[r][-ANSWER:] for r in rows]
+            has = np.array([np.isin(known, np.array(x, np.uint64)) for x in (*whole, *ends)], np.float32).T
+            verbatim, paraphrase = (np.array([len(set(x)) - (1 - share) * len(x) for x in whole]) - 1e-3 for share in (VERBATIM, PARAPHRASE))
+            answer = np.array([len(set(x)) - (1 - ANSWER_SHARE) * len(x) for x in ends]) - 1e-3
+            out.append((int(wide), rows, known, np.ascontiguousarray(has), verbatim, paraphrase, answer))
+    return out
+
+
+def _type_places(h, at, text, groups):
+    """Places (block, item, width) about which enough distinct words of an item stand for one of the rules to hold: no
+    place where a rule holds within the window is left out."""
+    of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+    for wide, rows, known, has, verbatim, paraphrase, answer in groups:
+        which = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[which] == h
+        held = np.zeros((len(at), len(known)), bool)
+        held[of[hit], which[hit]] = True
+        about = held.copy()
+        for x in (-1, *range(1, min(wide + 1, len(at)))):
+            to, of_ = (slice(1, None), slice(None, -1)) if x < 0 else (slice(None, -x), slice(x, None))
+            about[to] |= held[of_] & (text[to] == text[of_])[:, None]
+        n = len(rows)
+        count = about.astype(np.float32) @ has
+        near = (count[:, :n] >= verbatim) | ((count[:, :n] >= paraphrase) & (count[:, n:] >= answer))
+        yield from ((k, rows[r], wide) for k, r in zip(*(x.tolist() for x in np.nonzero(near))))
+
+
 def _check(best, h, first, d, lo, hi, r, cos, have, words, member):
     """Hold the words [lo, hi) of text d, as far as it goes, against an item; keep the best place."""
     item = words[have[r]]
