@@ -4,7 +4,7 @@ from lodestrata.llm import decontaminate as d
 
 
 def test_items_of_common_words(spark):
-    """Items with one to eight rare words among common ones, 20 to 38 % of the words replaced, the rare ones first."""
+    """Items with one to eight rare words among common ones, 20 to 36 % of the words replaced, the rare ones first."""
     rng = random.Random(5)
     common = [f"c{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
     docs = [[rng.choice(common) for _ in range(120)] for _ in range(400)]
