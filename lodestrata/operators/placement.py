@@ -42,7 +42,7 @@ def placement_table(members: list[str], slots: int = SLOTS) -> np.ndarray:
     at most and a change of members moves few slots."""
     members = sorted(members)
     offset = [fnv1a(m.encode()) % slots for m in members]
-    skip = [fnv1a(m.encode() + b"\x01") % (slots - 1) + 1 for m in members]
+    skip = [fnv1a(b"\xff" + m.encode()) % (slots - 1) + 1 for m in members]
     table = np.full(slots, -1, np.int32)
     walk, left = list(offset), slots
     while left:
@@ -58,23 +58,31 @@ def placement_table(members: list[str], slots: int = SLOTS) -> np.ndarray:
     return table
 
 
-def locate(table: np.ndarray, members: list[str], slots: np.ndarray, n: int) -> list[list[str]]:
-    """For each slot the first n distinct members met from there on."""
-    members = sorted(members)
-    if n > len(members):
+def places_by_slot(table: np.ndarray, n: int) -> np.ndarray:
+    """For each slot the first n distinct members met from there on: one row a slot, found once for all keys.
+
+    Going back from the last slot, a slot's list is its own member in front of the next slot's list without it; a second
+    round lets lists run on over the end.
+    """
+    if n > len(np.unique(table)):
         raise ValueError("more places than members")
-    out = []
-    for s in slots.tolist():
-        seen: list[int] = []
-        while len(seen) < n:
-            m = int(table[s % len(table)])
-            if m not in seen:
-                seen.append(m)
-            s += 1
-        out.append([members[i] for i in seen])
+    out = np.empty((len(table), n), np.int32)
+    have: list[int] = []
+    for again in range(2):
+        for s in range(len(table) - 1, -1, -1):
+            m = int(table[s])
+            have = [m, *(x for x in have if x != m)][:n]
+            if again:
+                out[s] = have
     return out
 
 
+def locate(table: np.ndarray, members: list[str], slots: np.ndarray, n: int) -> list[list[str]]:
+    """For each slot the first n distinct members met from there on."""
+    names = np.array(sorted(members), object)
+    return [list(x) for x in names[places_by_slot(table, n)[slots % len(table)]]]
+
+
 def _field() -> tuple[np.ndarray, np.ndarray]:
     exp, log = np.zeros(512, np.int64), np.zeros(256, np.int64)
     x = 1

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Inclusive upper bounds of the latency buckets in nanoseconds, doubling within a decade of three.
 BOUNDS = [
@@ -88,6 +90,23 @@ def cms_estimate(keys: DataFrame, key: str, sketch: DataFrame, rows: int, width:
     return cells.join(sketch, ["row", "idx"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+#: The seeds of a sketch's rows; low half of the FNV-1a basis, and of its prime.
+SEEDS = (0xA5A5A5A5, 0x5A5A5A5A, 0x12345678, 0x87654321)
+BASIS_LOW, PRIME_LOW = 0x84222325, 0x1B3
+
+
+def sketch_cell(key: Column, row: int, width: int) -> Column:
+    """The cell of a key (its UTF-8 bytes) in a row of a sketch: seeded FNV-1a modulo the width, a power of two up to 2**32.
+
+    Only the low 32 bits of the hash reach such a cell, and they depend on low bits alone, so whole numbers suffice.
+    """
+    digits = F.hex(F.encode(key, "utf-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint"))
+    octets = F.when(F.length(digits) > 0, octets).otherwise(F.expr("cast(array() as array<bigint>)"))
+    start = F.lit(BASIS_LOW ^ SEEDS[row]).cast("bigint")
+    return F.aggregate(octets, start, lambda h, b: (h.bitwiseXOR(b) * PRIME_LOW) % (1 << 32)) % width
+
+
 def rotated_estimate(touches: DataFrame, key: str, order: str, every: int, cap: int = 15) -> DataFrame:
     """Frequency of each key after rotations every so many touches: the active generation's count, plus half the last's.
 
@@ -109,3 +128,47 @@ def rates_from_counters(rows: DataFrame, by: list[str], ts: str, counter: str) -
     w = Window.partitionBy(*by).orderBy(ts, counter)
     d = rows.withColumns({"_d": F.col(counter) - F.lag(counter).over(w), "_t": (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6}).where("_t > 0")
     return d.groupBy(*by).agg(F.round(F.avg(F.col("_d") / F.col("_t")), 6).alias("mean_rate"), F.round(F.max(F.col("_d") / F.col("_t")), 6).alias("peak_rate"))
+
+
+def generations_by_bytes(touches: DataFrame, sketch: str, order: str, size: str, every: int, limit: int) -> DataFrame:
+    """`touches` with `gen`, the generation of its sketch that each is counted in.
+
+    A generation ends with the touch that is its `every`-th or brings its written bytes to `limit` or more; both counts then
+    begin anew, so one large write ends one generation. That is a fold in order: rows go by sketch and order through one
+    task's batches, with two numbers carried along, whatever a sketch's length. Null sizes write nothing.
+    """
+    fields = touches.schema.names
+
+    def run(batches):
+        held, gen, n, written = None, 0, 0, 0
+        at, by = fields.index(size), fields.index(sketch)
+        for b in batches:
+            out = []
+            for s, m in zip(b.column(by).to_pylist(), b.column(at).to_pylist()):
+                if (s,) != held:
+                    held, gen, n, written = (s,), 0, 0, 0
+                out.append(gen)
+                n, written = n + 1, written + (m or 0)
+                if n >= every or written >= limit:
+                    gen, n, written = gen + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*fields, "gen"])
+
+    dealt = touches.repartition(sketch).sortWithinPartitions(sketch, order)
+    schema = StructType([*touches.schema.fields, StructField("gen", LongType())])
+    return dealt.mapInArrow(run, schema)
+
+
+def turnover_estimate(touches: DataFrame, sketch: str, key: str, order: str, size: str, every: int, limit: int, cap: int = 15) -> DataFrame:
+    """Frequency of each key of each sketch after rotations by touches or bytes: the active generation's count, and half
+    the last one's. The active generation is the one after the last touch, which may be empty."""
+    t = generations_by_bytes(touches.select(sketch, key, order, size), sketch, order, size, every, limit)
+    last = t.groupBy(sketch).agg(F.max("gen").alias("g"))
+    tail = t.join(last, [sketch]).where("gen = g").groupBy(sketch, "g").agg(F.count("*").alias("n"), F.sum(size).alias("b"))
+    full = (F.col("n") >= every) | (F.coalesce("b", F.lit(0)) >= limit)
+    active = tail.select(sketch, (F.col("g") + full.cast("bigint")).alias("_active"))
+    counts = t.groupBy(sketch, key, "gen").agg(F.count("*").alias("n")).join(active, [sketch])
+
+    def part(ago: int) -> Column:
+        return F.least(F.sum(F.when(F.col("gen") == F.col("_active") - ago, F.col("n")).otherwise(0)), F.lit(cap))
+
+    return counts.groupBy(sketch, key).agg((part(0) + F.shiftright(part(1), 1)).alias("estimate"))

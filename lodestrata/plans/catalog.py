@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,9 +40,7 @@ VIEWS = {
     "images": "SELECT image, max(e) AS size FROM {runs} GROUP BY image",
     "holes": "SELECT r.image, r.s, r.e, i.size FROM {runs} r JOIN {images} i ON r.image = i.image WHERE r.kind <> 2",
     "points": "SELECT DISTINCT l_orderkey AS image, CAST(l_suppkey * 3997 % 120000 AS BIGINT) AS off FROM {lineitem}",
-    "layers": """SELECT CAST(image % 500 AS BIGINT) AS image, CAST(image % 3 AS BIGINT) AS layer, min(s) AS s, min(e) AS e, min(kind) AS kind, min(chunk) AS chunk
-        FROM (SELECT r.*, row_number() OVER (PARTITION BY image % 500, image % 3, rn ORDER BY image) AS k, min(image) OVER (PARTITION BY image % 500, image % 3) AS lead FROM {runs} r) x
-        WHERE image = lead GROUP BY CAST(image % 500 AS BIGINT), CAST(image % 3 AS BIGINT), rn""",
+    "layers": """SELECT image - image % 3 AS image, image % 3 AS layer, s, e, kind, chunk FROM {runs}""",
     "objects": "SELECT CAST(o_custkey AS VARCHAR(20)) AS k, CAST(o_orderkey % 5 AS BIGINT) AS ord, max(o_orderkey) AS size FROM {orders} GROUP BY CAST(o_custkey AS VARCHAR(20)), CAST(o_orderkey % 5 AS BIGINT)",
     "probes": """SELECT event_id, CAST(t AS INT) AS tier, CASE (event_id * 7 + t * 3) % 8 WHEN 0 THEN 'hit' WHEN 1 THEN 'hit_miss' WHEN 2 THEN 'error' ELSE 'miss' END AS outcome
         FROM {events} e JOIN (SELECT 0 AS t UNION ALL SELECT 1 UNION ALL SELECT 2) x ON 1 = 1""",
@@ -92,6 +91,8 @@ def _views(sql: str) -> str:
     body = sql.format(**names)
     if not ctes:
         return body
+    if body.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body.lstrip()[15:]}"
     if body.lstrip().upper().startswith("WITH "):
         return f"WITH {ctes}, {body.lstrip()[5:]}"
     return f"WITH {ctes} {body}"
@@ -113,6 +114,16 @@ C = f"""WITH c AS (SELECT image, source, lang, CAST(off // {CHUNK} AS BIGINT) AS
     CAST(octet_length(blob[off + 1:off + {CHUNK}]) AS BIGINT) AS size FROM (SELECT doc_id AS image, source, lang, encode(text) AS blob, unnest(range(0, octet_length(encode(text)), {CHUNK})) AS off FROM documents)) """
 
 
+Z = C.replace("encode(text)", "CASE WHEN doc_id % 3 = 0 THEN repeat('\\x00'::BLOB, 1100) || encode(text) ELSE encode(text) END").replace("AS size FROM", "AS size, blob[off + 1:off + 512] = repeat('\\x00'::BLOB, octet_length(blob[off + 1:off + 512])) AS zero FROM")
+
+
+def _zeros(x: Inputs) -> DataFrame:
+    """Chunks of texts of which every third stands behind 1100 zero bytes."""
+    t = F.encode("text", "utf-8")
+    d = x["documents"].select("doc_id", "source", "lang", "text")
+    return ch.fixed(d, "doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.repeat(F.lit("00"), F.lit(1100))), t)).otherwise(t), CHUNK).drop("text")
+
+
 def _chunks(x: Inputs) -> DataFrame:
     d = x["documents"].select("doc_id", "source", "lang", "text")
     return ch.fixed(d, "doc_id", F.encode("text", "utf-8"), CHUNK).drop("text")
@@ -132,9 +143,9 @@ def dedup_report_rollup(x):
     return ch.dedup_report(_chunks(x), "source")
 
 
-@query(C + "SELECT source, count(*) AS chunks, CAST(0 AS BIGINT) AS zero_chunks, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) // count(*) AS BIGINT) AS avg_chunk FROM c GROUP BY source")
+@query(Z + "SELECT source, count(*) AS chunks, count(*) FILTER (zero) AS zero_chunks, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) // count(*) AS BIGINT) AS avg_chunk FROM c GROUP BY source")
 def manifest_info(x):
-    return ch.info(_chunks(x), "source")
+    return ch.info(_zeros(x), "source")
 
 
 PCT = {"min_size": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "max_size": 1.0}
@@ -150,9 +161,9 @@ def forced_cuts(x):
     return _chunks(x).groupBy("source").agg(F.count_if(F.col("size") == CHUNK).alias("forced")).join(_chunks(x).groupBy("source").count(), "source").select("source", "forced", F.round(F.col("forced") * 100.0 / F.col("count"), 4).alias("forced_pct"))
 
 
-@query(C + "SELECT count(DISTINCT key) AS stored, count(*) - count(DISTINCT key) AS dedup, CAST(0 AS BIGINT) AS zero, CAST(sum(size) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT min(size) AS s FROM c GROUP BY key)) AS stored_bytes FROM c")
+@query(Z + "SELECT count(DISTINCT key) FILTER (NOT zero) AS stored, count(*) FILTER (NOT zero) - count(DISTINCT key) FILTER (NOT zero) AS dedup, count(*) FILTER (zero) AS zero, CAST(sum(size) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT min(size) AS s FROM c WHERE NOT zero GROUP BY key)) AS stored_bytes FROM c")
 def ingest_result(x):
-    return ch.ingest_result(_chunks(x))
+    return ch.ingest_result(_zeros(x))
 
 
 @query(C + """, a AS (SELECT key, min(size) AS s FROM c WHERE lang = 'en' GROUP BY key), b AS (SELECT key, min(size) AS s FROM c WHERE lang <> 'en' GROUP BY key),
@@ -186,9 +197,9 @@ def incremental_cost(x):
     return ch.incremental(_chunks(x), "source")
 
 
-@query(C + ", o AS (SELECT DISTINCT key FROM c WHERE ordinal % 7 <> 0) SELECT count(*) FILTER (key IN (SELECT key FROM o)) AS verified, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (key NOT IN (SELECT key FROM o)) AS failed, count(*) AS total FROM c")
+@query(Z + ", o AS (SELECT DISTINCT key FROM c WHERE ordinal % 7 <> 0) SELECT count(*) FILTER (NOT zero AND key IN (SELECT key FROM o)) AS verified, count(*) FILTER (zero) AS skipped, count(*) FILTER (NOT zero AND key NOT IN (SELECT key FROM o)) AS failed, count(*) AS total FROM c")
 def verify(x):
-    c = _chunks(x)
+    c = _zeros(x)
     return lk.verify_objects(c.select("key", "is_zero"), c.where("ordinal % 7 <> 0").select("key", F.sha2("data", 256).alias("content_key")))
 
 
@@ -474,22 +485,37 @@ def peer_stats(x):
     return x["access"].withColumn("k", k).groupBy("user_id").pivot("k", kinds).count().select("user_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in kinds))
 
 
-def _cell(key, row, width):
-    return F.pmod(key * (2 * row + 7) + row * 13, F.lit(width))
+KEYS = "event_type || ':' || CAST(event_id % 211 AS VARCHAR(9))"
+WIDTH = 1 << 16
+SEEDS = ", ".join(str(st.BASIS_LOW ^ x) for x in st.SEEDS)
+CMS = f"""WITH t AS (SELECT {KEYS} AS k FROM {{access}}), d AS (SELECT DISTINCT k FROM t), c AS (SELECT k, r, list_reduce(list_prepend(CAST([{SEEDS}][r + 1] AS BIGINT),
+    list_transform(string_split(k, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (xor(h, x) * {st.PRIME_LOW}) % 4294967296) % {WIDTH} AS idx FROM d, (SELECT unnest(range(4)) AS r) n),
+    s AS (SELECT r, idx, least(count(*), 15) AS n FROM c JOIN t USING (k) GROUP BY r, idx), e AS (SELECT k, min(n) AS estimate FROM c JOIN s USING (r, idx) GROUP BY k) """
 
 
-CMS = "WITH c AS (SELECT t.r, (user_id * (2 * t.r + 7) + t.r * 13) % 64 AS idx, user_id FROM {access}, (SELECT unnest(range(4)) AS r) t), s AS (SELECT r, idx, least(count(*), 15) AS n FROM c GROUP BY r, idx), e AS (SELECT user_id, min(n) AS estimate FROM (SELECT DISTINCT r, idx, user_id FROM c) k JOIN s USING (r, idx) GROUP BY user_id) "
+def _estimates(x):
+    a = x["access"].select(F.expr(KEYS.replace("VARCHAR(9)", "STRING")).alias("k"))
+    return st.cms_estimate(a.distinct(), "k", st.cms_counts(a, "k", 4, WIDTH, st.sketch_cell), 4, WIDTH, st.sketch_cell)
 
 
-@query(CMS + "SELECT user_id, estimate FROM e")
+@query(CMS + "SELECT k, estimate FROM e")
 def cms_exact(x):
-    a = x["access"].select("user_id")
-    return st.cms_estimate(a.distinct(), "user_id", st.cms_counts(a, "user_id", 4, 64, _cell), 4, 64, _cell)
+    return _estimates(x)
 
 
-@query(CMS + "SELECT user_id FROM e WHERE estimate <= 12")
+@query(CMS + "SELECT k FROM e WHERE estimate <= 10")
 def should_evict(x):
-    return cms_exact(x).where("estimate <= 12").select("user_id")
+    return _estimates(x).where("estimate <= 10").select("k")
+
+
+@query("""WITH RECURSIVE t AS (SELECT event_type, user_id, bytes, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM {access}),
+    g AS (SELECT event_type, user_id, i, CAST(0 AS BIGINT) AS gen, CAST(1 AS BIGINT) AS n, bytes AS b FROM t WHERE i = 1
+        UNION ALL SELECT t.event_type, t.user_id, t.i, g.gen + CASE WHEN g.n >= 40 OR g.b >= 3000 THEN 1 ELSE 0 END, CASE WHEN g.n >= 40 OR g.b >= 3000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 40 OR g.b >= 3000 THEN t.bytes ELSE g.b + t.bytes END
+        FROM g JOIN t ON t.event_type = g.event_type AND t.i = g.i + 1),
+    a AS (SELECT event_type, max(gen) + max(CASE WHEN n >= 40 OR b >= 3000 THEN 1 ELSE 0 END) AS act FROM g x WHERE i = (SELECT max(i) FROM g y WHERE y.event_type = x.event_type) GROUP BY event_type)
+    SELECT event_type, user_id, least(count(*) FILTER (gen = act), 15) + least(count(*) FILTER (gen = act - 1), 15) // 2 AS estimate FROM g JOIN a USING (event_type) GROUP BY event_type, user_id""")
+def sketch_turnover(x):
+    return st.turnover_estimate(x["access"], "event_type", "user_id", "event_id", "bytes", 40, 3000)
 
 
 @query("WITH r AS (SELECT user_id, (row_number() OVER (ORDER BY event_id) - 1) // 300 AS gen FROM {access}), a AS (SELECT count(*) // 300 AS act FROM {access}) SELECT user_id, least(count(*) FILTER (gen = act), 15) + least(count(*) FILTER (gen = act - 1), 15) // 2 AS estimate FROM r, a GROUP BY user_id")
@@ -559,10 +585,11 @@ def json_project(x):
 def placement_locate(x):
     """Three places of each part among all suppliers; the table has a fixed size and is made once."""
     members = [r[0] for r in x["supplier"].select("s_name").collect()]
-    table = pl.placement_table(members)
+    by_slot, names = pl.places_by_slot(pl.placement_table(members), min(3, len(members))), np.array(sorted(members), object)
+
     @F.pandas_udf("array<string>")
     def places(keys: pd.Series) -> pd.Series:
-        return pd.Series(pl.locate(table, members, (pl.fnv1a_column(keys) % pl.SLOTS).astype("int64"), min(3, len(members))))
+        return pd.Series(list(names[by_slot[(pl.fnv1a_column(keys) % np.uint64(pl.SLOTS)).astype("int64")]]))
 
     return x["part"].select("p_partkey", places("p_name").alias("places"))
 
@@ -690,15 +717,16 @@ def key_table_seal(x):
     return s.select("doc_id", F.sha2(ob.unseal(F.col("k"), F.col("s"), F.col("a")), 256).alias("restored"))
 
 
-@query(C + 'SELECT image, ordinal, ordinal * 512 AS "start", size, key AS object_key FROM c')
+@query(C + """SELECT image, CASE WHEN ordinal % 5 = 3 THEN 'hole' WHEN ordinal % 5 = 1 THEN 'zero' ELSE 'data' END AS kind, ordinal * 512 AS "start", size, CASE WHEN ordinal % 5 NOT IN (1, 3) THEN key END AS object_key FROM c""")
 def manifest_codec(x):
-    """Manifests of the fixed chunks of documents in their binary form and back."""
-    c = _chunks(x).select("image", F.col("start").cast("long").alias("start"), "size", F.lit(False).alias("is_zero"), F.col("key").alias("object_key"))
+    """Manifests of the fixed chunks of documents, some of them zero and some holes, in their binary form and back."""
+    c = _chunks(x).select("image", F.col("start").cast("long").alias("start"), "size", (F.col("ordinal") % 5 == 1).alias("is_zero"), (F.col("ordinal") % 5 == 3).alias("hole"), F.col("key").alias("object_key"))
     images = c.groupBy("image").agg(F.lit(2).alias("mode"), F.sum("size").alias("size"), F.lit(CHUNK).alias("least"), F.lit(CHUNK).alias("largest"))
-    holes = c.where("false").select("image", "start", F.col("start").alias("end"))
-    m = ob.decode_manifests(ob.encode_manifests(images, c, holes))
-    e = m.select("image", F.posexplode("m.entries").alias("ordinal", "e"))
-    return e.select("image", F.col("ordinal").cast("long").alias("ordinal"), "e.start", "e.size", "e.object_key")
+    holes = c.where("hole").select("image", "start", (F.col("start") + F.col("size")).alias("end"))
+    m = ob.decode_manifests(ob.encode_manifests(images, c.where("not hole").drop("hole"), holes))
+    e = m.select("image", F.explode("m.entries").alias("e")).select("image", F.when(F.col("e.is_zero"), "zero").otherwise("data").alias("kind"), "e.start", "e.size", "e.object_key")
+    h = m.select("image", F.explode("m.holes").alias("h")).select("image", F.lit("hole").alias("kind"), "h.start", (F.col("h.end") - F.col("h.start")).alias("size"), F.lit(None).cast("string").alias("object_key"))
+    return e.unionByName(h)
 
 
 @query(C + """, q AS (SELECT doc_id AS request, CAST(octet_length(encode(text)) AS BIGINT) AS size, doc_id * 37 % 1500 AS a, doc_id * 37 % 1500 + 700 AS b FROM documents),
@@ -715,13 +743,13 @@ def read_ranges(x):
     return r.select("request", "n", F.hex("data").alias("h"))
 
 
-@query("""WITH a AS (SELECT DISTINCT image % 500 AS image, off FROM {points}), t AS (SELECT a.image, a.off, l.layer, l.kind, l.s, l.e, row_number() OVER (PARTITION BY a.image, a.off ORDER BY l.layer) AS k
+@query("""WITH a AS (SELECT DISTINCT image - image % 3 AS image, off FROM {points}), t AS (SELECT a.image, a.off, l.layer, l.kind, l.s, l.e, row_number() OVER (PARTITION BY a.image, a.off ORDER BY l.layer) AS k
     FROM a JOIN {layers} l ON l.image = a.image AND l.s <= a.off AND l.e > a.off AND l.kind <> 0), d AS (SELECT * FROM t WHERE k = 1 AND kind = 2)
     SELECT d.image, d.off AS "offset", d.layer, d.s AS chunk, CASE WHEN d.e - d.s > 16384 THEN d.off ELSE greatest(d.s, coalesce(max(u.e) FILTER (u.e <= d.off), 0)) END AS "start", least(d.e, coalesce(min(u.s) FILTER (u.s > d.off), d.e)) AS "end"
     FROM d LEFT JOIN {layers} u ON u.image = d.image AND u.layer < d.layer AND u.kind <> 0 GROUP BY d.image, d.off, d.layer, d.s, d.e""")
 def chunk_window(x):
     l = x["layers"].withColumn("chunk", F.col("start"))
-    anchors = x["points"].select((F.col("image") % 500).cast("long").alias("image"), F.col("off").alias("offset")).distinct()
+    anchors = x["points"].select((F.col("image") - F.col("image") % 3).alias("image"), F.col("off").alias("offset")).distinct()
     chunks = l.where(F.col("kind") == iv.DATA).select("image", "layer", "chunk", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
     return rd.chunk_windows(anchors, iv.overlay(l), chunks, 16384, 1 << 14)
 
@@ -771,7 +799,7 @@ _both("join_inner", "SELECT n_name, count(*) AS customers FROM {customer} c JOIN
 _both("join_left", "SELECT c_custkey, count(o_orderkey) AS orders FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c_custkey")
 _both("join_full", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS k, count(c.c_custkey) AS c, count(s.s_suppkey) AS s FROM {customer} c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey GROUP BY coalesce(c.c_nationkey, s.s_nationkey)")
 _both("join_semi", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-_both("join_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+_both("join_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 _both("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
 _both("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(DISTINCT o_custkey) AS c FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 _both("win_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}")

@@ -7,7 +7,7 @@ def walk(members, key, n):
     members, slots = sorted(members), pl.SLOTS
     table, tries, left = {}, [0] * len(members), slots
     first = [pl.fnv1a(m.encode()) % slots for m in members]
-    skip = [pl.fnv1a(m.encode() + b"\x01") % (slots - 1) + 1 for m in members]
+    skip = [pl.fnv1a(b"\xff" + m.encode()) % (slots - 1) + 1 for m in members]
     while left:
         for i in range(len(members)):
             if not left:
