@@ -105,8 +105,9 @@ def windows(h: np.ndarray, first: np.ndarray, width: int, salt: int = 0) -> tupl
     return mix((total[at + width] - total[at]) * down[at]), at
 
 
-def slices(texts: pa.Array, most: int = 4 << 20):
-    """Cut a column into ranges [i, j) of about `most` bytes, at least one row each, so that kernels stay in cache."""
+def slices(texts: pa.Array, most: int = 4 << 20, rows: int = 1 << 16):
+    """Cut a column into ranges [i, j) of about `most` bytes and at most `rows` rows, at least one row each, so that
+    kernels stay in cache."""
     if not len(texts):
         return
     import pyarrow.compute as pc
@@ -115,5 +116,6 @@ def slices(texts: pa.Array, most: int = 4 << 20):
     total, i = np.cumsum(sizes), 0
     while i < len(sizes):
         j = int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right"))
-        yield i, max(j, i + 1)
-        i = max(j, i + 1)
+        j = min(max(j, i + 1), i + rows)
+        yield i, j
+        i = j

@@ -2,20 +2,23 @@
 
 Tokens are words and one end for each text. Every known word has a path of `DEPTH` bits (of its hash), and its probability
 is that of being known, times those of the bits, times its share of the words with that path. Each bit is predicted in
-hashed contexts (the word before; the endings of the two words before; what the text held so far), each backed off to the
-plain frequency of the bit. The predictions are mixed in the logistic domain by weights that a gate picks (by depth and by
-how much the text has shown); a text starts from the same weights and refines them by the gradient after each block of
-`BLOCK` tokens, so a prediction only ever uses what came before. An unknown word counts as one more token, whose rate is
-refined in the same way; that is the event space of the base score, so the two scores can be compared. The bits per byte
-also hold what its spelling takes, by pairs of bytes, and so are those of a code for the text's words.
-
-Counts are taken over the whole corpus. Texts are dealt to shards of about `SHARD` bytes by a hash of id and text. A shard
-sends its words with their counts by range of hash, gets back what they sum to, and never needs any other word's count, so
-no task or driver holds the vocabulary. Tables of contexts have a fixed size and are summed piece by piece.
+three ways: in the hashed context of the word before, in that of the two words before (each backed off to the shorter
+context, and that to the plain frequency of the bit), and from what the text held so far. The predictions are mixed in the
+logistic domain by weights that a gate picks (by depth, by how often the longer context was met at this bit, and by how much
+the text has shown); a text starts from the same weights and refines them by the gradient after each block of `BLOCK` tokens,
+so a prediction only ever uses what came before. An unknown word counts as one more token, whose rate is refined in the same
+way, times the probability of its spelling, byte by byte after a
+hash of the two bytes before.
+
+Counts of words, contexts and bytes are taken over the whole corpus, and grow with it: a context is a hash of more
+bits the more tokens there are, and each that occurs has counts of its own. Slices of texts send their distinct words and
+(context, path) keys to ranges of keys, which reply with the counts along each path (see packs); a task holds the keys of
+one slice or one range, never those of the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,36 +29,34 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .kernels import mix, slices, tokenize
+from .packs import SLICE, Tally, by_range, pack, restore, restore_sorted, squeeze, squeeze_sorted, unpack
 
-DEPTH, BLOCK, SHARD = 8, 64, 12 << 20
+DEPTH, BLOCK = 12, 64
 NODES = 1 << DEPTH
-#: Contexts of a table, for each node of the paths' tree; rows of a table in a piece.
-CONTEXTS, PIECES = 4096, 16
-#: Weight of what a context is backed off to; the same for the text's own counts and for the rate of unknown words.
-BACKOFF, OWN, RARE = 6.0, 6.0, 12.0
-START = (0.45, 0.35, 0.35)
-RATE = 0.006
+#: Depths at which a text's own counts predict.
+NEAR = 8
+#: Weight of what the contexts, the text's own counts and the rate of unknown words are backed off to.
+BACKOFF = (3.0, 0.4)
+OWN, RARE = 6.0, 12.0
+#: Weights that a text starts from, by how often the longer context was met (never, once, more): for the word before, the
+#: two words before, the text itself.
+START = ((0.35, 0.35, 0.3), (0.1, 0.9, 0.2), (0.0, 1.0, 0.15))
+RATE = 0.01
 END = np.uint64(0x5851F42D4C957F2D)
-_ZSTD = "zstd"
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + (pa.compress(x.tobytes(), _ZSTD, asbytes=True) if len(x) else b"")
-
-
-def _restore(b: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], n * np.dtype(kind).itemsize, _ZSTD, asbytes=True), kind) if n else np.zeros(0, kind)
+#: Keys in a range, and parts of the corpus whose spelling is summed apart.
+RANGE, LOTS = 2_000_000, 8
+#: Hashes of two bytes that spelling is learnt after.
+PAIRS = 1 << 13
 
 
 @dataclass
 class Tokens:
-    """Tokens of some texts: hash (END at the end of each text), first token of each text, contexts before each token."""
+    """Tokens of some texts: hash (END at the end of each text), first token of each text, hashes of the two contexts."""
 
     h: np.ndarray
     first: np.ndarray
-    before: np.ndarray
-    endings: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
     words: object
     is_word: np.ndarray
 
@@ -68,282 +69,316 @@ def tokens(texts: pa.Array) -> Tokens:
     is_word = np.ones(len(h), bool)
     is_word[first[1:] - 1] = False
     h[is_word] = w.hashes()
-    # endings: the last two bytes of a word (its only byte twice)
-    tail = np.zeros(len(h), np.uint64)
-    if len(w.end):
-        last, prior = w.buf[w.end - 1].astype(np.uint64), w.buf[np.maximum(w.end - 2, w.start)].astype(np.uint64)
-        tail[is_word] = last << np.uint64(8) | prior
-    before, t1, t2 = (np.zeros(len(h), np.uint64) for _ in range(3))
-    before[1:], t1[1:] = h[:-1], tail[:-1]
-    t2[2:] = tail[:-2] & np.uint64(255)
+    before = np.zeros((2, len(h)), np.uint64)
+    before[0, 1:], before[1, 2:] = h[:-1], h[:-2]
     start = first[:-1]
-    before[start], t1[start], t2[start] = 1, 1, 1
-    second = start[count > 0] + 1
-    t2[second] = 1
-    pick = np.uint64(CONTEXTS - 1)
-    c1 = (mix(before) & pick).astype(np.int64)
-    c2 = (mix(t1 << np.uint64(9) | t2) & pick).astype(np.int64)
-    return Tokens(h, first, c1, c2, w, is_word)
+    before[:, start] = 1
+    before[1, start[count > 0] + 1] = 1
+    one = mix(before[0])
+    return Tokens(h, first, one, mix(one + before[1] * np.uint64(0x9E3779B97F4A7C15)), w, is_word)
 
 
 def _paths(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - DEPTH)).astype(np.int64)
 
 
-def _spell_pairs(t: Tokens, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of bytes (start 256, end 256 of a word) as indices into a 257 x 257 table, and the word of each."""
+def context_keys(t: Tokens, bits: int) -> np.ndarray:
+    """Keys of the tokens in their two contexts, 2 x tokens: `bits` bits of context, and the token's path."""
+    cut_ = np.uint64(64 - bits)
+    return (np.stack([t.one, t.two]) >> cut_ << np.uint64(DEPTH)) | (t.h >> np.uint64(64 - DEPTH))
+
+
+def path_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For ascending (context, path) keys: how often the context was met, and each node along the path; keys x (DEPTH + 1).
+
+    Contexts met more than 65535 times are halved until they fit; a node never has more than the one above it.
+    """
+    out = np.empty((len(keys), DEPTH + 1), np.int64)
+    for d in range(DEPTH + 1):
+        node = keys >> np.uint64(DEPTH - d)
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        out[:, d] = np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
+    over = np.maximum(np.frexp(out[:, 0].astype(float))[1] - 16, 0)
+    return (out >> over[:, None]).astype(np.uint16)
+
+
+def spelling_keys(t: Tokens, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the chosen words and for their ends (257 symbols; 256 before a word, and at its end): indices into
+    the tables of a symbol after one byte, and after a hash of two bytes; and which word it belongs to."""
     s, e = t.words.start[chosen], t.words.end[chosen]
     size = e - s
     word = np.repeat(np.arange(len(s)), size + 1)
+    if not len(word):
+        return word, word, word
     at = np.arange(len(word)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    here = s[word] + at
-    buf = t.words.buf
-    cur = np.where(at < size[word], buf[np.minimum(here, len(buf) - 1)].astype(np.int64), 256) if len(word) else at
-    prev = np.where(at > 0, buf[np.maximum(here - 1, 0)].astype(np.int64), 256) if len(word) else at
-    return prev * 257 + cur, word
-
-
-def _stats(ranges: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, NODES * CONTEXTS, 2), np.uint32)
-        pairs = np.zeros(257 * 257, np.int64)
-        names, counts = [], []
-        for t, learn in ((tokens(b.column("t").slice(i, j - i)), b.column("learn").slice(i, j - i)) for b in batches for i, j in slices(b.column("t"), 2 << 20)):
-            learn = np.repeat(np.asarray(learn), np.diff(t.first))
-            name, at, inverse = np.unique(t.h, return_index=True, return_inverse=True)
-            names.append(name)
-            counts.append(np.bincount(inverse, learn, len(name)).astype(np.uint32))
-            if learn.any():
-                path = _paths(t.h[learn])
-                depth = np.arange(DEPTH)
-                places = ((1 << depth) + (path[:, None] >> (DEPTH - depth))) * (2 * CONTEXTS) + (path[:, None] >> (DEPTH - 1 - depth) & 1)
-                for k, ctx in enumerate((t.before[learn], t.endings[learn])):
-                    tables[k] += np.bincount((places + 2 * ctx[:, None]).ravel(), minlength=tables[k].size).reshape(-1, 2).astype(np.uint32)
-                # spelling: of each distinct word of the piece
-                word_no = np.cumsum(t.is_word) - 1
-                known = (counts[-1] > 0) & t.is_word[at]
-                pairs += np.bincount(_spell_pairs(t, word_no[at[known]])[0], minlength=len(pairs))
-        name, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate(counts), len(name)).astype(np.uint32)
-        shard = key[0].as_py()
-        part = (name >> np.uint64(40)).astype(np.int64) * ranges >> 24
-        cuts = np.searchsorted(part, np.arange(ranges + 1))
-        rows = [("v", r, _squeeze(name[i:j]) , _squeeze(count[i:j])) for r, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
-        step = NODES * CONTEXTS // PIECES
-        rows += [("t", k * PIECES + p, _squeeze(tables[k, p * step : (p + 1) * step].reshape(-1)), b"") for k in range(2) for p in range(PIECES)]
-        rows.append(("p", 0, _squeeze(pairs.astype(np.uint32)), b""))
-        for what, r, x, y in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([what]), pa.array([r], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["shard", "what", "r", "x", "y"])
+    here, buf = s[word] + at, t.words.buf
 
-    return run
+    def byte(back: int) -> np.ndarray:
+        return np.where((at >= back) & (at - back < size[word]), buf[np.clip(here - back, 0, len(buf) - 1)].astype(np.int64), 256)
 
+    now, one, two = byte(0), byte(1), byte(2)
+    pair = (mix((two * 257 + one).astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+    return one * 257 + now, pair * 257 + now, word
 
-def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        for x in b.column("x"):
-            v = _restore(x.as_py(), np.uint32)
-            total = v.astype(np.float32) if total is None else total + v
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["what", "r", "x"])
 
+def _batch(names: list[str], schema: list, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), schema)], names)
 
-def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of a range of words over all shards: back to each shard for its words, and sums by path of the range."""
-    shards, names, counts = [], [], []
+
+ASKED = (["kind", "r", "slice", "x", "y"], [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+REPLY = (["slice", "kind", "r", "y", "path", "n", "v", "once"], [pa.int64(), pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * 4])
+
+
+def _ask(bits: int, ranges: dict[str, int]):
+    """What each slice sends: its words (kind w) and contexts (c) with training counts, and the bytes of its words after those before."""
+
+    def run(batches):
+        for b in batches:
+            for slice_, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = unpack(blob)
+                t = tokens(rows.column("t"))
+                learn = np.repeat(np.asarray(rows.column("learn")), np.diff(t.first))
+                out = []
+                name, at, inverse = np.unique(t.h, return_index=True, return_inverse=True)
+                count = np.bincount(inverse, learn, len(name)).astype(np.uint32)
+                for kind, keys, n, size in (("w", name, count, 64), ("c", *_unique_contexts(t, bits, learn), bits + DEPTH)):
+                    cuts, some = by_range(keys, size, ranges[kind])
+                    out += [(kind, r, slice_, squeeze_sorted(keys[cuts[r] : cuts[r + 1]]), squeeze(n[cuts[r] : cuts[r + 1]])) for r in some]
+                known = (count > 0) & t.is_word[at]
+                after_one, after_two, _ = spelling_keys(t, (np.cumsum(t.is_word) - 1)[at[known]])
+                keys, n = np.unique(np.concatenate([after_one, 257 * 257 + after_two]).astype(np.uint64), return_counts=True)
+                out.append(("p", slice_ % LOTS, slice_, squeeze_sorted(keys), squeeze(n.astype(np.uint32))))
+                for i in range(0, len(out), 64):
+                    yield _batch(*ASKED, out[i : i + 64])
+
+    return run
+
+
+def _unique_contexts(t: Tokens, bits: int, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = context_keys(t, bits).ravel()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(np.tile(learn, 2)[order].astype(np.int64), new).astype(np.uint32) if len(new) else np.zeros(0, np.uint32)
+
+
+def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a range over all slices: back to each slice in the order of its keys; of words also sums by path."""
+    kind, r = (k.as_py() for k in key)
+    if kind == "p":
+        total = np.zeros(257 * (257 + PAIRS), np.int64)
+        for b in batches:
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                total[restore_sorted(x).astype(np.int64)] += restore(y, np.uint32)
+        yield _batch(*REPLY, [(None, kind, r, squeeze(total), None, None, None, None)])
+        return
+    tally, held = Tally(), []
     for b in batches:
-        for s, x, y in zip(b.column("shard"), b.column("x"), b.column("y")):
-            shards.append(s.as_py())
-            names.append(_restore(x.as_py(), np.uint64))
-            counts.append(_restore(y.as_py(), np.uint32))
-    name, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    count = np.bincount(inverse, np.concatenate(counts), len(name)).astype(np.int64)
-    schema = ["shard", "x", "y", "path", "n", "v", "once"]
-
-    def batch(*cols):
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], schema)
-
-    at = 0
-    for s, n in zip(shards, names):
-        yield batch(s, _squeeze(n), _squeeze(count[inverse[at : at + len(n)]]), None, None, None, None)
-        at += len(n)
-    path = _paths(name)
-    for p in np.unique(path).tolist():
-        c = count[path == p]
-        yield batch(None, None, None, p, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))
+        for s, x, y in zip(b.column("slice").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist()):
+            tally.add(restore_sorted(x), restore(y, np.uint32))
+            held.append((s, x))
+    tally.settle()
+    reply = path_counts(tally.keys, tally.counts) if kind == "c" else tally.counts
+    out = []
+    for s, x in held:
+        out.append((s, kind, r, squeeze(np.ascontiguousarray(reply[np.searchsorted(tally.keys, restore_sorted(x))])), None, None, None, None))
+        if len(out) >= 64:
+            yield _batch(*REPLY, out)
+            out = []
+    if kind == "w":
+        path = _paths(tally.keys)
+        new = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        sums = (np.add.reduceat(v, new).tolist() for v in (tally.counts, (tally.counts > 0).astype(np.int64), (tally.counts == 1).astype(np.int64)))
+        out += [(None, kind, r, None, *row) for row in zip(path[new].tolist(), *sums)]
+    for i in range(0, len(out), 4096):
+        yield _batch(*REPLY, out[i : i + 4096])
 
 
 @dataclass
 class Model:
-    logits: np.ndarray  # 2 x (NODES * CONTEXTS): of bit 1 at a node after a context, backed off to the node's own odds
-    spelling: np.ndarray  # log10 probability of a byte after another, 257 * 257
+    spelling: np.ndarray  # log10 probability of a symbol after two, PAIRS * 257
     total: int
     distinct: int
     rare: float  # rate of unknown words
     mass: np.ndarray  # by path: sum of count + 0.5 over its known words
-    odds: np.ndarray  # by node: probability of bit 1
+    odds: np.ndarray  # by node of the tree of paths: its share of the node above
 
 
-def _logit(p):
-    return np.log(p / (1 - p))
+def _logit_of(hit: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Log odds of the bit that was met, from weights for and against it; both are above zero."""
+    return np.clip(np.log(hit / rest), -9, 9)
 
 
-def score_tokens(m: Model, t: Tokens, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each text's tokens, given the training count of each; and of its unknown words' spelling."""
+def score_tokens(m: Model, t: Tokens, count: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 probability of each text, given the training count of each token, and the counts along its path in its two
+    contexts (DEPTH + 1 x tokens)."""
     texts = len(t.first) - 1
     size = np.diff(t.first)
-    out, spelling = np.zeros(texts), np.zeros(texts)
+    out = np.zeros(texts)
     path = _paths(t.h)
     known = count > 0
-    # unknown words: their spelling
-    word_no = np.cumsum(t.is_word) - 1
-    unknown = np.flatnonzero(~known)
     text_of = np.repeat(np.arange(texts), size)
-    spelt = unknown[t.is_word[unknown]]
+    # unknown words: their spelling
+    spelt = np.flatnonzero(~known & t.is_word)
     if len(spelt):
-        pair, word = _spell_pairs(t, word_no[spelt])
-        spelling += np.bincount(text_of[spelt], np.bincount(word, m.spelling[pair], len(spelt)), texts)
+        _, after_two, word = spelling_keys(t, (np.cumsum(t.is_word) - 1)[spelt])
+        out += np.bincount(text_of[spelt], np.bincount(word, m.spelling[after_two], len(spelt)), texts)
     # known words: their share of their path
     share = np.log10((count + 0.5) / np.maximum(m.mass[path], 0.5))
     out += np.bincount(text_of[known], share[known], texts)
-    own = np.zeros((texts, NODES, 2), np.float32)
+    deep = np.arange(DEPTH)[:, None]
+    node = ((1 << DEPTH) + path)[None, :] >> (DEPTH - 1 - deep)  # the node that each bit leads to
+    plain = m.odds[node].astype(np.float32)
+    f1, f2 = one.astype(np.float32), two.astype(np.float32)
+    b1, b2 = (np.float32(b) for b in BACKOFF)
+    hit, all_ = f1[1:] + b1 * plain, f1[:-1] + b1
+    x1, p1 = _logit_of(hit, all_ - hit), hit / all_
+    x2 = _logit_of(f2[1:] + b2 * p1, f2[:-1] - f2[1:] + b2 * (1 - p1))
+    level = np.minimum(two[:-1], 2).astype(np.int64)
+    del f1, f2, hit, all_, p1
+    kinds = 3 * 3 * 2  # gates: depths, levels, whether the text has shown much
+    gate = ((deep * 3 // DEPTH) * 3 + level) * 2
+    start = np.array(START, np.float32)[np.arange(kinds) // 2 % 3]
+    gates = np.broadcast_to(start, (texts, kinds, 3)).copy()
+    tree = np.int64(2 << NEAR)
+    own = np.zeros((texts, int(tree)), np.float32)
     unk = np.zeros((texts, 2))
-    gates = np.broadcast_to(np.array(START, np.float32), (texts, DEPTH * 2, 3)).copy()
     order = np.argsort(-size, kind="stable")
     alive = np.cumsum(np.bincount(-(-size // BLOCK))[::-1])[::-1]  # texts with at least so many blocks
-    eps = np.float32(1e-4)
-    odds = m.odds.astype(np.float32)
     for step in range(int(-(-size.max() // BLOCK)) if texts else 0):
         who = order[: int(alive[step + 1])]
         n = np.minimum(size[who] - step * BLOCK, BLOCK)
-        d = np.repeat(who, n)
-        at = np.repeat(t.first[who] + step * BLOCK, n) + (np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n))
+        at = np.repeat(t.first[who] + step * BLOCK, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        d = np.repeat(np.arange(len(who)), n)  # place in `who`
         k = known[at]
-        p_unk = (unk[d, 0] + RARE * m.rare) / (unk[d].sum(axis=1) + RARE)
-        out += np.bincount(d, np.where(k, np.log10(1 - p_unk), np.log10(p_unk)), texts)
-        unk[:, 0] += np.bincount(d, ~k, texts)
-        unk[:, 1] += np.bincount(d, k, texts)
+        p_unk = (unk[who, 0] + RARE * m.rare) / (unk[who].sum(axis=1) + RARE)
+        new = np.bincount(d, k, len(who))
+        out[who] += new * np.log10(1 - p_unk) + (n - new) * np.log10(p_unk)
+        shown = (unk[who, 1] > 2 * BLOCK).astype(np.int64)
+        unk[who, 0] += n - new
+        unk[who, 1] += new
         d, at = d[k], at[k]
         if not len(d):
             continue
-        shown = (unk[d, 1] > 2 * BLOCK).astype(np.int64)
-        c1, c2, full = t.before[at], t.endings[at], path[at]
-        total = np.zeros(len(d))
-        grad, uses, seen = [], [], []
-        for depth in range(DEPTH):
-            node = (1 << depth) + (full >> (DEPTH - depth)) if depth else np.ones(len(full), np.int64)
-            bit = full >> (DEPTH - 1 - depth) & 1
-            mine = own[d, node]
-            x = np.empty((3, len(d)), np.float32)
-            x[0], x[1] = m.logits[0][node * CONTEXTS + c1], m.logits[1][node * CONTEXTS + c2]
-            p1 = (mine[:, 1] + OWN * odds[node]) / (mine[:, 0] + mine[:, 1] + np.float32(OWN))
-            x[2] = np.log(p1 / (1 - p1))
-            gate = depth * 2 + shown
-            w = gates[d, gate]
-            p = 1 / (1 + np.exp(-(w[:, 0] * x[0] + w[:, 1] * x[1] + w[:, 2] * x[2])))
-            np.clip(p, eps, 1 - eps, out=p)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-            grad.append((bit.astype(np.float32) - p) * x)
-            uses.append(d * (DEPTH * 2) + gate)
-            seen.append((d * NODES + node) * 2 + bit)
-        out += np.bincount(d, total, texts)
-        step_up, used = np.concatenate(grad, axis=1), np.concatenate(uses)
-        flat = gates.reshape(-1, 3)
+        x = np.zeros((3, DEPTH, len(d)), np.float32)
+        x[0], x[1] = x1[:, at], x2[:, at]
+        mine = (who[d] * tree)[None, :] + node[:NEAR, at]
+        flat = own.reshape(-1)
+        hits = flat[mine]
+        above = np.concatenate([flat[who[d] * tree + 1][None, :], hits[:-1]])
+        odds = plain[:NEAR, at]
+        x[2, :NEAR] = _logit_of(hits + np.float32(OWN) * odds, above - hits + np.float32(OWN) * (1 - odds))
+        which = d[None, :] * kinds + gate[:, at] + shown[d][None, :]
+        local = gates[who].reshape(-1, 3)
+        w = local[which]
+        z = w[:, :, 0] * x[0] + w[:, :, 1] * x[1] + w[:, :, 2] * x[2]
+        p = np.clip(1 / (1 + np.exp(-z)), np.float32(1e-4), np.float32(1 - 1e-4))
+        out[who] += np.bincount(d, np.log10(np.prod(p, axis=0, dtype=np.float64)), len(who))
+        slope = (1 - p)[None] * x
+        used = which.ravel()
         for i in range(3):
-            flat[:, i] += (RATE * np.bincount(used, step_up[i], len(flat))).astype(np.float32)
-        np.clip(flat, -1, 2.5, out=flat)
-        np.add.at(own.reshape(-1), np.concatenate(seen), np.float32(1))
-    return out, spelling
+            local[:, i] += (RATE * np.bincount(used, slope[i].ravel(), len(local))).astype(np.float32)
+        gates[who] = np.clip(local, -1, 2.5).reshape(len(who), kinds, 3)
+        np.add.at(flat, mine.ravel(), np.float32(1))
+        np.add.at(flat, who[d] * tree + 1, np.float32(1))
+    return out
 
 
-def _scorer(sent):
+def _scorer(sent, bits: int, most: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
-        name = np.concatenate([_restore(x.as_py(), np.uint64) for x in right.column("x")] or [np.zeros(0, np.uint64)])
-        have = np.concatenate([_restore(y.as_py(), np.int64) for y in right.column("y")] or [np.zeros(0, np.int64)])
-        order = np.argsort(name, kind="stable")
-        name, have = name[order], have[order]
-        n = left.num_rows
-        base, full, spelt, sizes, knowns, bits = (np.zeros(n) for _ in range(6))
-        texts = left.column("t").combine_chunks()
-        whole = m.total + 0.5 * (m.distinct + 1)
-        # texts of like lengths together, so that few are scored alone to their end
-        width = np.array([len(x.as_py().encode()) for x in texts], np.int64)
-        by = np.argsort(width, kind="stable")
-        bits[:] = width
-        for i, j in slices(texts.take(pa.array(by)), 3 << 20):
-            rows = by[i:j]
-            t = tokens(texts.take(pa.array(rows)))
+        order = np.argsort(np.asarray(right.column("r")), kind="stable")
+        parts = {"w": [], "c": []}
+        kinds, blobs = right.column("kind").to_pylist(), right.column("y")
+        for i in order.tolist():
+            parts[kinds[i]].append(blobs[i].as_py())
+        have = np.concatenate([restore(x, np.int64) for x in parts["w"]])
+        met = np.concatenate([restore(x, np.uint16, DEPTH + 1) for x in parts["c"]])
+        rows = unpack(left.column("rows")[0].as_py())
+        texts = rows.column("t")
+        n = rows.num_rows
+        whole = tokens(texts)
+        name = np.unique(whole.h)
+        keys = np.unique(context_keys(whole, bits))
+        base, full, knowns = (np.zeros(n) for _ in range(3))
+        sizes = np.diff(whole.first)
+        del whole
+        import pyarrow.compute as pc
+
+        width = np.asarray(pc.binary_length(texts)).astype(np.int64)
+        all_ = m.total + 0.5 * (m.distinct + 1)
+        by = np.argsort(width, kind="stable")  # texts of like lengths together, so that few are scored alone to their end
+        ordered = texts.take(pa.array(by))
+        for i, j in slices(ordered, most, 1024):
+            some = by[i:j]
+            t = tokens(ordered.slice(i, j - i))
             count = have[np.searchsorted(name, t.h)]
-            size = np.diff(t.first)
-            base[rows] = np.add.reduceat(np.log10((count + 0.5) / whole), t.first[:-1])
-            knowns[rows] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
-            sizes[rows] = size
-            full[rows], spelt[rows] = score_tokens(m, t, count)
-        per_byte = np.where(bits > 0, -(full + spelt) / np.log10(2) / np.maximum(bits, 1), np.nan)
+            base[some] = np.add.reduceat(np.log10((count + 0.5) / all_), t.first[:-1])
+            knowns[some] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
+            one, two = (np.ascontiguousarray(met[np.searchsorted(keys, k)].T) for k in context_keys(t, bits))
+            full[some] = score_tokens(m, t, count, one, two)
+        per_byte = np.where(width > 0, -full / math.log10(2) / np.maximum(width, 1), np.nan)
         return pa.table(
-            [left.column("id"), left.column("learn"), pa.array(sizes.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base), pa.array(full), pa.array(per_byte, from_pandas=True)],
+            [rows.column("id"), rows.column("learn"), pa.array(sizes.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base), pa.array(full), pa.array(per_byte, from_pandas=True)],
             ["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
         )
 
     return run
 
 
-def score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+def score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = SLICE) -> DataFrame:
     """Rows (doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one for each row of `docs`.
 
     learn says which rows are learnt from (default: all; null counts as no). base_score sums the smoothed log10
-    frequencies of the tokens; score is the model's log10 probability of the text with all unknown words as one
-    token, bits_per_byte that with their spelling, in bits, over the text's UTF-8 bytes (null for an empty text). Null texts count as empty and have one token, the end. Null ids are
-    carried; a repeated row is learnt from and scored as often as it occurs; other columns are ignored; an empty table
-    gives an empty result. If nothing is learnt from, every token is unknown.
+    frequencies of the tokens, all unknown words as one token. score is the model's log10 probability of the text, the
+    spelling of unknown words included; bits_per_byte is that in bits, over the text's UTF-8 bytes (null for an empty
+    text). Null texts count as empty and have one token, the end. Null ids are carried; a repeated row is learnt from and
+    scored as often as it occurs; other columns are ignored; an empty table gives an empty result. If nothing is learnt
+    from, every token is unknown. A very long text is a slice of its own: a task takes some 300 bytes of memory for each
+    of its tokens. Many very short texts are cut by number, so that a task's memory does not go with theirs.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     flag = F.coalesce(F.lit(True) if learn is None else learn, F.lit(False))
-    size = docs.agg(F.sum(F.octet_length(t)), F.count("*")).first()
-    shards = max(1, -(-int((size[0] or 0) + 8 * size[1]) // shard))
     dtype = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), t.alias("t"), flag.alias("learn"))
-    src = src.withColumn("shard", F.pmod(F.xxhash64("id", "t"), F.lit(shards)))
-    stats = cut(src.select("shard", "t", "learn").groupBy("shard").applyInArrow(_stats(shards), "shard long, what string, r long, x binary, y binary"))
-    merged = cut(stats.where("what = 'v'").groupBy("r").applyInArrow(_merge, "shard long, x binary, y binary, path long, n long, v long, once long"))
-    # sums by the lot of shards first, so that no group grows with their number
-    lots = stats.where("what <> 'v'").select("what", "r", "x", F.floor(F.col("shard") / 64).alias("lot"))
-
-    def partial(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sum(key, batches):
-            yield b.set_column(2, "x", pa.array([_squeeze(np.frombuffer(b.column(2)[0].as_py(), np.uint32))], pa.binary()))
-
-    lots = lots.groupBy("what", "r", "lot").applyInArrow(partial, "what string, r long, x binary")
-    parts = {(r["what"], r["r"]): np.frombuffer(r["x"], np.uint32) for r in lots.groupBy("what", "r").applyInArrow(_sum, "what string, r long, x binary").collect()}  # tables of fixed size
+    size = src.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    about = max(1, int(size[0] or 0) // 6 + size[1])  # tokens
+    bits = min(64 - DEPTH, max(24, about.bit_length() + 4))
+    ranges = {"w": max(1, about // (4 * RANGE)), "c": max(1, 2 * about // RANGE)}
+    packs = pack(src, "t", most)
+    asked = packs.mapInArrow(_ask(bits, ranges), "kind string, r long, slice long, x binary, y binary")
+    merged = cut(asked.groupBy("kind", "r").applyInArrow(_answer, "slice long, kind string, r long, y binary, path long, n long, v long, once long"))
+    pairs = [restore(r["y"], np.int64) for r in merged.where("kind = 'p'").select("y").collect()]  # LOTS tables of fixed size
     sums = {r["path"]: r for r in merged.where("path is not null").groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).collect()}  # one for each path at most
-    sent = docs.sparkSession.sparkContext.broadcast(_model(parts, sums))
-    vocabulary = merged.where("path is null").select("shard", "x", "y")
-    out = src.groupBy("shard").cogroup(vocabulary.groupBy("shard"))
-    return out.applyInArrow(_scorer(sent), f"doc_id {dtype}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
-
-
-def _model(parts: dict, sums: dict) -> Model:
-    tables = np.zeros((2, NODES * CONTEXTS, 2), np.float32)
-    step = NODES * CONTEXTS // PIECES
-    for k in range(2):
-        for p in range(PIECES):
-            if ("t", k * PIECES + p) in parts:
-                tables[k, p * step : (p + 1) * step] = parts["t", k * PIECES + p].reshape(-1, 2)
-    pairs = (parts[("p", 0)].astype(float) if ("p", 0) in parts else np.zeros(257 * 257)).reshape(257, 257) + 0.05
-    spelling = np.log10(pairs / pairs.sum(axis=1, keepdims=True)).reshape(-1)
+    sent = docs.sparkSession.sparkContext.broadcast(_model(pairs, sums))
+    replies = merged.where("slice is not null").select("slice", "kind", "r", "y")
+    out = packs.groupBy("slice").cogroup(replies.groupBy("slice"))
+    return out.applyInArrow(_scorer(sent, bits, 2 << 20), f"doc_id {dtype}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+
+
+def _model(pairs: list[np.ndarray], sums: dict) -> Model:
+    spelt = (np.sum(pairs, axis=0) if pairs else np.zeros(257 * (257 + PAIRS))).astype(float)
+    one, two = spelt[: 257 * 257].reshape(257, 257) + 0.05, spelt[257 * 257 :].reshape(PAIRS, 257)
+    one /= one.sum(axis=1, keepdims=True)
+    # a hash of two bytes is backed off to the last byte alone, which few hashes share: by their counts' own mixture
+    first = (mix((np.arange(257)[:, None] * 257 + np.arange(257)).astype(np.uint64).ravel()) & np.uint64(PAIRS - 1)).astype(np.int64)
+    back = np.zeros((PAIRS, 257))
+    np.add.at(back, first, np.tile(one, (257, 1)))
+    back /= np.maximum(back.sum(axis=1, keepdims=True), 1e-12)
+    back = np.where(back.sum(axis=1, keepdims=True) > 0, back, 1 / 257)
+    spelling = np.log10((two + 4 * back) / (two.sum(axis=1, keepdims=True) + 4)).astype(np.float32).reshape(-1)
     n, v, once = (sum(int(r[c]) for r in sums.values()) for c in ("n", "v", "once"))
-    mass = np.array([sums[p]["n"] + 0.5 * sums[p]["v"] if p in sums else 0.0 for p in range(NODES)])
+    mass = np.zeros(NODES)
+    for p, r in sums.items():
+        mass[p] = r["n"] + 0.5 * r["v"]
     heap = np.zeros(2 * NODES)
     heap[NODES:] = mass
-    for i in range(NODES - 1, 0, -1):
-        heap[i] = heap[2 * i] + heap[2 * i + 1]
-    odds = np.full(NODES, 0.5)
-    inner = np.arange(1, NODES)
-    odds[inner] = np.clip((heap[2 * inner + 1] + 1e-3) / (heap[inner] + 2e-3), 1e-4, 1 - 1e-4)
-    back = BACKOFF * np.repeat(odds, CONTEXTS)
-    logits = np.stack([_logit((x[:, 1] + back) / (x[:, 0] + x[:, 1] + BACKOFF)) for x in tables]).astype(np.float32)
-    return Model(np.clip(logits, -9, 9), spelling, n, v, min(max((once + 0.5) / (n + 1.0), 1e-6), 0.5), mass, odds.astype(np.float64))
+    for d in range(DEPTH - 1, -1, -1):
+        heap[1 << d : 2 << d] = heap[2 << d : 4 << d].reshape(-1, 2).sum(axis=1)
+    odds = np.full(2 * NODES, 0.5)
+    child = np.arange(2, 2 * NODES)
+    odds[child] = np.clip((heap[child] + 1e-3) / (heap[child >> 1] + 2e-3), 1e-4, 1 - 1e-4)
+    return Model(spelling, n, v, min(max((once + 0.5) / (n + 1.0), 1e-6), 0.5), mass, odds)
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
