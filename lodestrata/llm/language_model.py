@@ -2,13 +2,12 @@
 
 Tokens are words and one end for each text. Every known word has a path of `DEPTH` bits (of its hash), and its probability
 is that of being known, times those of the bits, times its share of the words with that path. Each bit is predicted in
-three ways: in the hashed context of the word before, in that of the two words before (each backed off to the shorter
-context, and that to the plain frequency of the bit), and from what the text held so far. The predictions are mixed in the
-logistic domain by weights that a gate picks (by depth, by how often the longer context was met at this bit, and by how much
-the text has shown); a text starts from the same weights and refines them by the gradient after each block of `BLOCK` tokens,
-so a prediction only ever uses what came before. An unknown word counts as one more token, whose rate is refined in the same
-way, times the probability of its spelling, byte by byte after a
-hash of the two bytes before.
+three ways: from how often it is met at this place of the paths at all, in the hashed context of the two words before
+(backed off to the former), and from what the text held so far. The predictions are mixed in the logistic domain by weights
+that a gate picks (by depth, by how often the context was met at this bit, and by how much the text has shown); a text starts
+from the same weights and refines them by the gradient after each block of `BLOCK` tokens, so a prediction only ever uses
+what came before. An unknown word counts as one more token, whose rate is refined in the same way, times the probability of
+its spelling, byte by byte after a hash of the two bytes before.
 
 Counts of words, contexts and bytes are taken over the whole corpus, and grow with it: a context is a hash of more
 bits the more tokens there are, and each that occurs has counts of its own. Slices of texts send their distinct words and
@@ -35,12 +34,11 @@ DEPTH, BLOCK = 12, 64
 NODES = 1 << DEPTH
 #: Depths at which a text's own counts predict.
 NEAR = 8
-#: Weight of what the contexts, the text's own counts and the rate of unknown words are backed off to.
-BACKOFF = (3.0, 0.4)
-OWN, RARE = 6.0, 12.0
-#: Weights that a text starts from, by how often the longer context was met (never, once, more): for the word before, the
-#: two words before, the text itself.
-START = ((0.35, 0.35, 0.3), (0.1, 0.9, 0.2), (0.0, 1.0, 0.15))
+#: Weight of what the context, the text's own counts and the rate of unknown words are backed off to.
+BACKOFF, OWN, RARE = 0.3, 6.0, 12.0
+#: Weights that a text starts from, by how often the context was met (never, once, more): for the plain share, the two words
+#: before, the text itself.
+START = ((0.35, 0.35, 0.5), (0.1, 0.9, 0.3), (0.0, 1.0, 0.2))
 RATE = 0.01
 END = np.uint64(0x5851F42D4C957F2D)
 #: Keys in a range, and parts of the corpus whose spelling is summed apart.
@@ -51,11 +49,10 @@ PAIRS = 1 << 13
 
 @dataclass
 class Tokens:
-    """Tokens of some texts: hash (END at the end of each text), first token of each text, hashes of the two contexts."""
+    """Tokens of some texts: hash (END at the end of each text), first token of each text, hash of the two words before."""
 
     h: np.ndarray
     first: np.ndarray
-    one: np.ndarray
     two: np.ndarray
     words: object
     is_word: np.ndarray
@@ -74,8 +71,7 @@ def tokens(texts: pa.Array) -> Tokens:
     start = first[:-1]
     before[:, start] = 1
     before[1, start[count > 0] + 1] = 1
-    one = mix(before[0])
-    return Tokens(h, first, one, mix(one + before[1] * np.uint64(0x9E3779B97F4A7C15)), w, is_word)
+    return Tokens(h, first, mix(mix(before[0]) + before[1] * np.uint64(0x9E3779B97F4A7C15)), w, is_word)
 
 
 def _paths(h: np.ndarray) -> np.ndarray:
@@ -83,9 +79,8 @@ def _paths(h: np.ndarray) -> np.ndarray:
 
 
 def context_keys(t: Tokens, bits: int) -> np.ndarray:
-    """Keys of the tokens in their two contexts, 2 x tokens: `bits` bits of context, and the token's path."""
-    cut_ = np.uint64(64 - bits)
-    return (np.stack([t.one, t.two]) >> cut_ << np.uint64(DEPTH)) | (t.h >> np.uint64(64 - DEPTH))
+    """A key of each token: `bits` bits of its context, and its path."""
+    return (t.two >> np.uint64(64 - bits) << np.uint64(DEPTH)) | (t.h >> np.uint64(64 - DEPTH))
 
 
 def path_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,23 +124,29 @@ ASKED = (["kind", "r", "slice", "x", "y"], [pa.string(), pa.int64(), pa.int64(),
 REPLY = (["slice", "kind", "r", "y", "path", "n", "v", "once"], [pa.int64(), pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * 4])
 
 
-def _ask(bits: int, ranges: dict[str, int]):
-    """What each slice sends: its words (kind w) and contexts (c) with training counts, and the bytes of its words after those before."""
+def _sums_of_runs(keys: np.ndarray, values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their values; order sorts the keys."""
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(values[order].astype(np.int64), new).astype(np.uint32)
+
+
+def _ask_words(ranges: int):
+    """What each slice sends of words: their training counts (kind w), and how they are spelt (p; each text's words once)."""
 
     def run(batches):
         for b in batches:
             for slice_, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = unpack(blob)
                 t = tokens(rows.column("t"))
-                learn = np.repeat(np.asarray(rows.column("learn")), np.diff(t.first))
-                out = []
-                name, at, inverse = np.unique(t.h, return_index=True, return_inverse=True)
-                count = np.bincount(inverse, learn, len(name)).astype(np.uint32)
-                for kind, keys, n, size in (("w", name, count, 64), ("c", *_unique_contexts(t, bits, learn), bits + DEPTH)):
-                    cuts, some = by_range(keys, size, ranges[kind])
-                    out += [(kind, r, slice_, squeeze_sorted(keys[cuts[r] : cuts[r + 1]]), squeeze(n[cuts[r] : cuts[r + 1]])) for r in some]
-                known = (count > 0) & t.is_word[at]
-                after_one, after_two, _ = spelling_keys(t, (np.cumsum(t.is_word) - 1)[at[known]])
+                text = np.repeat(np.arange(rows.num_rows), np.diff(t.first))
+                learn = np.asarray(rows.column("learn"))[text]
+                order = np.argsort(t.h, kind="stable")
+                name, count = _sums_of_runs(t.h, learn, order)
+                cuts, some = by_range(name, 64, ranges)
+                out = [("w", r, slice_, squeeze_sorted(name[cuts[r] : cuts[r + 1]]), squeeze(count[cuts[r] : cuts[r + 1]])) for r in some]
+                once = order[np.concatenate([[True], (np.diff(t.h[order]) != 0) | (np.diff(text[order]) != 0)])]
+                after_one, after_two, _ = spelling_keys(t, (np.cumsum(t.is_word) - 1)[once[learn[once] & t.is_word[once]]])
                 keys, n = np.unique(np.concatenate([after_one, 257 * 257 + after_two]).astype(np.uint64), return_counts=True)
                 out.append(("p", slice_ % LOTS, slice_, squeeze_sorted(keys), squeeze(n.astype(np.uint32))))
                 for i in range(0, len(out), 64):
@@ -154,23 +155,37 @@ def _ask(bits: int, ranges: dict[str, int]):
     return run
 
 
-def _unique_contexts(t: Tokens, bits: int, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = context_keys(t, bits).ravel()
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(np.tile(learn, 2)[order].astype(np.int64), new).astype(np.uint32) if len(new) else np.zeros(0, np.uint32)
+def _ask_contexts(bits: int, ranges: int):
+    """What each slice sends of contexts: their keys, with how often each is learnt."""
+
+    def run(batches):
+        for b in batches:
+            for slice_, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = unpack(blob)
+                t = tokens(rows.column("t"))
+                keys = context_keys(t, bits)
+                keys, n = _sums_of_runs(keys, np.repeat(np.asarray(rows.column("learn")), np.diff(t.first)), np.argsort(keys, kind="stable"))
+                cuts, some = by_range(keys, bits + DEPTH, ranges)
+                out = [("c", r, slice_, squeeze_sorted(keys[cuts[r] : cuts[r + 1]]), squeeze(n[cuts[r] : cuts[r + 1]])) for r in some]
+                for i in range(0, len(out), 64):
+                    yield _batch(*ASKED, out[i : i + 64])
+
+    return run
+
+
+def _answer_spelling(batches: Iterator[pa.RecordBatch]) -> bytes:
+    total = np.zeros(257 * (257 + PAIRS), np.int64)
+    for b in batches:
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            total[restore_sorted(x).astype(np.int64)] += restore(y, np.uint32)
+    return squeeze(total)
 
 
 def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a range over all slices: back to each slice in the order of its keys; of words also sums by path."""
     kind, r = (k.as_py() for k in key)
     if kind == "p":
-        total = np.zeros(257 * (257 + PAIRS), np.int64)
-        for b in batches:
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                total[restore_sorted(x).astype(np.int64)] += restore(y, np.uint32)
-        yield _batch(*REPLY, [(None, kind, r, squeeze(total), None, None, None, None)])
+        yield _batch(*REPLY, [(None, kind, r, _answer_spelling(batches), None, None, None, None)])
         return
     tally, held = Tally(), []
     for b in batches:
@@ -178,7 +193,7 @@ def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
             tally.add(restore_sorted(x), restore(y, np.uint32))
             held.append((s, x))
     tally.settle()
-    reply = path_counts(tally.keys, tally.counts) if kind == "c" else tally.counts
+    reply = _steps(path_counts(tally.keys, tally.counts)) if kind == "c" else tally.counts
     out = []
     for s, x in held:
         out.append((s, kind, r, squeeze(np.ascontiguousarray(reply[np.searchsorted(tally.keys, restore_sorted(x))])), None, None, None, None))
@@ -194,6 +209,17 @@ def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
         yield _batch(*REPLY, out[i : i + 4096])
 
 
+def _steps(met: np.ndarray) -> np.ndarray:
+    """Counts along paths as the last one and what is lost at each bit, which is mostly nothing."""
+    return np.concatenate([met[:, -1:], met[:, :-1] - met[:, 1:]], axis=1)
+
+
+def _counts(steps: np.ndarray) -> np.ndarray:
+    """The reverse of _steps, as DEPTH + 1 x keys."""
+    down = np.cumsum(steps[:, :0:-1], axis=1, dtype=np.uint16)[:, ::-1] + steps[:, :1]
+    return np.ascontiguousarray(np.concatenate([down, steps[:, :1]], axis=1).T)
+
+
 @dataclass
 class Model:
     spelling: np.ndarray  # log10 probability of a symbol after two, PAIRS * 257
@@ -209,9 +235,9 @@ def _logit_of(hit: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.clip(np.log(hit / rest), -9, 9)
 
 
-def score_tokens(m: Model, t: Tokens, count: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, given the training count of each token, and the counts along its path in its two
-    contexts (DEPTH + 1 x tokens)."""
+def score_tokens(m: Model, t: Tokens, count: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """log10 probability of each text, given the training count of each token, and the counts along its path in its
+    context (DEPTH + 1 x tokens)."""
     texts = len(t.first) - 1
     size = np.diff(t.first)
     out = np.zeros(texts)
@@ -229,13 +255,11 @@ def score_tokens(m: Model, t: Tokens, count: np.ndarray, one: np.ndarray, two: n
     deep = np.arange(DEPTH)[:, None]
     node = ((1 << DEPTH) + path)[None, :] >> (DEPTH - 1 - deep)  # the node that each bit leads to
     plain = m.odds[node].astype(np.float32)
-    f1, f2 = one.astype(np.float32), two.astype(np.float32)
-    b1, b2 = (np.float32(b) for b in BACKOFF)
-    hit, all_ = f1[1:] + b1 * plain, f1[:-1] + b1
-    x1, p1 = _logit_of(hit, all_ - hit), hit / all_
-    x2 = _logit_of(f2[1:] + b2 * p1, f2[:-1] - f2[1:] + b2 * (1 - p1))
-    level = np.minimum(two[:-1], 2).astype(np.int64)
-    del f1, f2, hit, all_, p1
+    x1 = _logit_of(plain, 1 - plain)
+    f = met.astype(np.float32)
+    x2 = _logit_of(f[1:] + np.float32(BACKOFF) * plain, f[:-1] - f[1:] + np.float32(BACKOFF) * (1 - plain))
+    level = np.minimum(met[:-1], 2).astype(np.int64)
+    del f
     kinds = 3 * 3 * 2  # gates: depths, levels, whether the text has shown much
     gate = ((deep * 3 // DEPTH) * 3 + level) * 2
     start = np.array(START, np.float32)[np.arange(kinds) // 2 % 3]
@@ -287,13 +311,12 @@ def score_tokens(m: Model, t: Tokens, count: np.ndarray, one: np.ndarray, two: n
 def _scorer(sent, bits: int, most: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
-        order = np.argsort(np.asarray(right.column("r")), kind="stable")
         parts = {"w": [], "c": []}
         kinds, blobs = right.column("kind").to_pylist(), right.column("y")
-        for i in order.tolist():
+        for i in np.argsort(np.asarray(right.column("r")), kind="stable").tolist():
             parts[kinds[i]].append(blobs[i].as_py())
         have = np.concatenate([restore(x, np.int64) for x in parts["w"]])
-        met = np.concatenate([restore(x, np.uint16, DEPTH + 1) for x in parts["c"]])
+        steps = np.concatenate([restore(x, np.uint16, DEPTH + 1) for x in parts["c"]])
         rows = unpack(left.column("rows")[0].as_py())
         texts = rows.column("t")
         n = rows.num_rows
@@ -315,8 +338,7 @@ def _scorer(sent, bits: int, most: int):
             count = have[np.searchsorted(name, t.h)]
             base[some] = np.add.reduceat(np.log10((count + 0.5) / all_), t.first[:-1])
             knowns[some] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
-            one, two = (np.ascontiguousarray(met[np.searchsorted(keys, k)].T) for k in context_keys(t, bits))
-            full[some] = score_tokens(m, t, count, one, two)
+            full[some] = score_tokens(m, t, count, _counts(steps[np.searchsorted(keys, context_keys(t, bits))]))
         per_byte = np.where(width > 0, -full / math.log10(2) / np.maximum(width, 1), np.nan)
         return pa.table(
             [rows.column("id"), rows.column("learn"), pa.array(sizes.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base), pa.array(full), pa.array(per_byte, from_pandas=True)],
@@ -344,14 +366,15 @@ def score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     size = src.agg(F.sum(F.octet_length("t")), F.count("*")).first()
     about = max(1, int(size[0] or 0) // 6 + size[1])  # tokens
     bits = min(64 - DEPTH, max(24, about.bit_length() + 4))
-    ranges = {"w": max(1, about // (4 * RANGE)), "c": max(1, 2 * about // RANGE)}
     packs = pack(src, "t", most)
-    asked = packs.mapInArrow(_ask(bits, ranges), "kind string, r long, slice long, x binary, y binary")
-    merged = cut(asked.groupBy("kind", "r").applyInArrow(_answer, "slice long, kind string, r long, y binary, path long, n long, v long, once long"))
-    pairs = [restore(r["y"], np.int64) for r in merged.where("kind = 'p'").select("y").collect()]  # LOTS tables of fixed size
-    sums = {r["path"]: r for r in merged.where("path is not null").groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).collect()}  # one for each path at most
-    sent = docs.sparkSession.sparkContext.broadcast(_model(pairs, sums))
-    replies = merged.where("slice is not null").select("slice", "kind", "r", "y")
+    sends, replies = "kind string, r long, slice long, x binary, y binary", "slice long, kind string, r long, y binary, path long, n long, v long, once long"
+    words = packs.mapInArrow(_ask_words(max(1, about // (4 * RANGE))), sends)
+    words = cut(words.groupBy("kind", "r").applyInArrow(_answer, replies))
+    spelt = [restore(r["y"], np.int64) for r in words.where("kind = 'p'").select("y").collect()]  # LOTS tables of fixed size
+    sums = {r["path"]: r for r in words.where("path is not null").groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).collect()}  # one for each path at most
+    contexts = packs.mapInArrow(_ask_contexts(bits, max(1, about // RANGE)), sends).groupBy("kind", "r").applyInArrow(_answer, replies)
+    sent = docs.sparkSession.sparkContext.broadcast(_model(spelt, sums))
+    replies = words.where("slice is not null").unionByName(contexts).select("slice", "kind", "r", "y")
     out = packs.groupBy("slice").cogroup(replies.groupBy("slice"))
     return out.applyInArrow(_scorer(sent, bits, 2 << 20), f"doc_id {dtype}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 

@@ -61,17 +61,17 @@ def test_probabilities_sum_to_one():
         r["v"] += 1
         r["once"] += c == 1
     m = lm._model([], sums)
-    learnt = lm.context_keys(t, bits).ravel()
+    learnt = lm.context_keys(t, bits)
 
     def score(text, end=None):
         x = lm.tokens(pa.array([text]))
         if end is not None:
             x.h[-1] = end
         asked = lm.context_keys(x, bits)
-        keys = np.unique(np.concatenate([learnt, asked.ravel()]))
+        keys = np.unique(np.concatenate([learnt, asked]))
         met = lm.path_counts(keys, np.array([(learnt == k).sum() for k in keys]))
-        one, two = (met[np.searchsorted(keys, k)].T for k in asked)
-        return lm.score_tokens(m, x, np.array([count.get(int(h), 0) for h in x.h]), one, two)[0]
+        met = lm._counts(lm._steps(met))
+        return lm.score_tokens(m, x, np.array([count.get(int(h), 0) for h in x.h]), met[:, np.searchsorted(keys, asked)])[0]
 
     start = "w1 w2 w3 w1"
     texts = [10 ** score(start, h) for h in [*(np.uint64(k) for k in count), np.uint64(12345)]]
@@ -85,7 +85,7 @@ def test_contexts_grow_with_the_corpus():
     met = lm.path_counts(keys, np.ones(len(keys), np.int64))
     assert (met[:, 0] >= 1).all() and (np.diff(met.astype(int), axis=1) <= 0).all()
     big = lm.path_counts(np.array([5, 6], np.uint64), np.array([1_000_000, 3]))
-    assert big[0, 0] < 1 << 16 and big[0, -1] > 65_000
+    assert big[0, 0] < 1 << 16 and big[0, -1] > 60_000
 
 
 def test_many_short_texts(spark):
