@@ -49,15 +49,21 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """One uint64 for each word, a function of its bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(_BASE, len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(_STEP))
+    def hashes(self, piece: int = 1 << 19) -> np.ndarray:
+        """One uint64 for each word, a function of its bytes; some `piece` bytes at once, so that little memory is held."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(int(np.searchsorted(self.end, self.start[i] + piece, side="right")), i + 1)
+            base = self.start[i]
+            s, e = self.start[i:j] - base, self.end[i:j] - base
+            buf = self.buf[base : int(self.end[j - 1])]
+            up, down = _powers(_BASE, len(buf) + 1)
+            total = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
+            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_STEP))
+            i = j
+        return out
 
 
 def tokenize(texts: pa.Array, fold: bool = False, plain: bool = False) -> Words:

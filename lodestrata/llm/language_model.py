@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .kernels import mix, slices, tokenize
+from .kernels import Words, mix, slices, tokenize
 from .packs import SLICE, Tally, by_range, pack, restore, restore_sorted, squeeze, squeeze_sorted, unpack
 
 DEPTH, BLOCK = 12, 64
@@ -42,7 +43,7 @@ START = ((0.35, 0.35, 0.5), (0.1, 0.9, 0.3), (0.0, 1.0, 0.2))
 RATE = 0.01
 END = np.uint64(0x5851F42D4C957F2D)
 #: Keys in a range, and parts of the corpus whose spelling is summed apart.
-RANGE, LOTS = 2_000_000, 8
+RANGE, LOTS = 1_000_000, 8
 #: Hashes of two bytes that spelling is learnt after.
 PAIRS = 1 << 13
 
@@ -54,9 +55,15 @@ class Tokens:
     h: np.ndarray
     first: np.ndarray
     two: np.ndarray
-    words: object
+    words: Words
     is_word: np.ndarray
 
+    def part(self, i: int, j: int) -> Tokens:
+        """The tokens of texts i to j - 1."""
+        lo, hi, w = self.first[i], self.first[j], self.words
+        a, b = w.first[i], w.first[j]
+        return Tokens(self.h[lo:hi], self.first[i : j + 1] - lo, self.two[lo:hi], Words(w.buf, w.start[a:b], w.end[a:b], w.first[i : j + 1] - a), self.is_word[lo:hi])
+
 
 def tokens(texts: pa.Array) -> Tokens:
     w = tokenize(texts, fold=True)
@@ -88,13 +95,16 @@ def path_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     Contexts met more than 65535 times are halved until they fit; a node never has more than the one above it.
     """
-    out = np.empty((len(keys), DEPTH + 1), np.int64)
+    out = np.empty((len(keys), DEPTH + 1), np.uint16)
+    over = None
     for d in range(DEPTH + 1):
         node = keys >> np.uint64(DEPTH - d)
         new = np.concatenate([[True], node[1:] != node[:-1]])
-        out[:, d] = np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
-    over = np.maximum(np.frexp(out[:, 0].astype(float))[1] - 16, 0)
-    return (out >> over[:, None]).astype(np.uint16)
+        met = np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
+        if over is None:
+            over = np.maximum(np.frexp(met.astype(float))[1] - 16, 0)
+        out[:, d] = met >> over
+    return out
 
 
 def spelling_keys(t: Tokens, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,10 +155,18 @@ def _ask_words(ranges: int):
                 name, count = _sums_of_runs(t.h, learn, order)
                 cuts, some = by_range(name, 64, ranges)
                 out = [("w", r, slice_, squeeze_sorted(name[cuts[r] : cuts[r + 1]]), squeeze(count[cuts[r] : cuts[r + 1]])) for r in some]
-                once = order[np.concatenate([[True], (np.diff(t.h[order]) != 0) | (np.diff(text[order]) != 0)])]
-                after_one, after_two, _ = spelling_keys(t, (np.cumsum(t.is_word) - 1)[once[learn[once] & t.is_word[once]]])
-                keys, n = np.unique(np.concatenate([after_one, 257 * 257 + after_two]).astype(np.uint64), return_counts=True)
-                out.append(("p", slice_ % LOTS, slice_, squeeze_sorted(keys), squeeze(n.astype(np.uint32))))
+                new = np.diff(t.h[order]) != 0
+                once = np.concatenate([[True], new | (np.diff(text[order]) != 0)]) & learn[order] & t.is_word[order]
+                first = np.flatnonzero(np.concatenate([[True], new]))
+                held = np.add.reduceat(once.astype(np.int64), first)  # texts that are learnt from and hold the word
+                word = (np.cumsum(t.is_word) - 1)[order[first[held > 0]]]
+                spelt = np.zeros(257 * (257 + PAIRS))
+                for i in range(0, len(word), 1 << 15):
+                    after_one, after_two, which = spelling_keys(t, word[i : i + (1 << 15)])
+                    weigh = held[held > 0][i + which]
+                    spelt += np.bincount(np.concatenate([after_one, 257 * 257 + after_two]), np.tile(weigh, 2), len(spelt))
+                keys = np.flatnonzero(spelt)
+                out.append(("p", slice_ % LOTS, slice_, squeeze_sorted(keys.astype(np.uint64)), squeeze(spelt[keys].astype(np.uint32))))
                 for i in range(0, len(out), 64):
                     yield _batch(*ASKED, out[i : i + 64])
 
@@ -252,13 +270,13 @@ def score_tokens(m: Model, t: Tokens, count: np.ndarray, met: np.ndarray) -> np.
     # known words: their share of their path
     share = np.log10((count + 0.5) / np.maximum(m.mass[path], 0.5))
     out += np.bincount(text_of[known], share[known], texts)
-    deep = np.arange(DEPTH)[:, None]
-    node = ((1 << DEPTH) + path)[None, :] >> (DEPTH - 1 - deep)  # the node that each bit leads to
+    deep = np.arange(DEPTH, dtype=np.int32)[:, None]
+    node = ((1 << DEPTH) + path).astype(np.int32)[None, :] >> (DEPTH - 1 - deep)  # the node that each bit leads to
     plain = m.odds[node].astype(np.float32)
     x1 = _logit_of(plain, 1 - plain)
     f = met.astype(np.float32)
     x2 = _logit_of(f[1:] + np.float32(BACKOFF) * plain, f[:-1] - f[1:] + np.float32(BACKOFF) * (1 - plain))
-    level = np.minimum(met[:-1], 2).astype(np.int64)
+    level = np.minimum(met[:-1], 2).astype(np.int32)
     del f
     kinds = 3 * 3 * 2  # gates: depths, levels, whether the text has shown much
     gate = ((deep * 3 // DEPTH) * 3 + level) * 2
@@ -321,24 +339,19 @@ def _scorer(sent, bits: int, most: int):
         texts = rows.column("t")
         n = rows.num_rows
         whole = tokens(texts)
-        name = np.unique(whole.h)
-        keys = np.unique(context_keys(whole, bits))
+        name = np.searchsorted(np.unique(whole.h), whole.h)
+        key = np.unique(context_keys(whole, bits), return_inverse=True)[1]
         base, full, knowns = (np.zeros(n) for _ in range(3))
         sizes = np.diff(whole.first)
-        del whole
-        import pyarrow.compute as pc
-
         width = np.asarray(pc.binary_length(texts)).astype(np.int64)
         all_ = m.total + 0.5 * (m.distinct + 1)
-        by = np.argsort(width, kind="stable")  # texts of like lengths together, so that few are scored alone to their end
-        ordered = texts.take(pa.array(by))
-        for i, j in slices(ordered, most, 1024):
-            some = by[i:j]
-            t = tokens(ordered.slice(i, j - i))
-            count = have[np.searchsorted(name, t.h)]
-            base[some] = np.add.reduceat(np.log10((count + 0.5) / all_), t.first[:-1])
-            knowns[some] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
-            full[some] = score_tokens(m, t, count, _counts(steps[np.searchsorted(keys, context_keys(t, bits))]))
+        for i, j in slices(texts, most, 1024):  # texts of like lengths stand together, so that few are scored alone to their end
+            t = whole.part(i, j)
+            lo, hi = whole.first[i], whole.first[j]
+            count = have[name[lo:hi]]
+            base[i:j] = np.add.reduceat(np.log10((count + 0.5) / all_), t.first[:-1])
+            knowns[i:j] = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
+            full[i:j] = score_tokens(m, t, count, _counts(steps[key[lo:hi]]))
         per_byte = np.where(width > 0, -full / math.log10(2) / np.maximum(width, 1), np.nan)
         return pa.table(
             [rows.column("id"), rows.column("learn"), pa.array(sizes.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base), pa.array(full), pa.array(per_byte, from_pandas=True)],
@@ -368,7 +381,7 @@ def score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     bits = min(64 - DEPTH, max(24, about.bit_length() + 4))
     packs = pack(src, "t", most)
     sends, replies = "kind string, r long, slice long, x binary, y binary", "slice long, kind string, r long, y binary, path long, n long, v long, once long"
-    words = packs.mapInArrow(_ask_words(max(1, about // (4 * RANGE))), sends)
+    words = packs.mapInArrow(_ask_words(max(1, about // (8 * RANGE))), sends)
     words = cut(words.groupBy("kind", "r").applyInArrow(_answer, replies))
     spelt = [restore(r["y"], np.int64) for r in words.where("kind = 'p'").select("y").collect()]  # LOTS tables of fixed size
     sums = {r["path"]: r for r in words.where("path is not null").groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).collect()}  # one for each path at most
@@ -376,7 +389,7 @@ def score(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(_model(spelt, sums))
     replies = words.where("slice is not null").unionByName(contexts).select("slice", "kind", "r", "y")
     out = packs.groupBy("slice").cogroup(replies.groupBy("slice"))
-    return out.applyInArrow(_scorer(sent, bits, 2 << 20), f"doc_id {dtype}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return out.applyInArrow(_scorer(sent, bits, 1 << 20), f"doc_id {dtype}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def _model(pairs: list[np.ndarray], sums: dict) -> Model:
