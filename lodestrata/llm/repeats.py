@@ -2,23 +2,22 @@
 
 A window of 35 words, wherever it starts, holds a whole block of 18 words out of those that its document is cut into. So
 an exact repeat of a window is met by looking up every rolling run of 18 words of the other place in the index of such
-reference blocks:
-
-1. The reference blocks' hashes set bits of a filter of fixed size (32 MB), which all tasks can hold whatever the input.
-2. Rolling runs that pass the filter are counted by their full hash; those that occur at least twice are the anchors, and
-   set the bits of a second filter of the same size.
-3. Around each anchor, hits are extended to the windows that hold it; their 96-bit hashes are counted. Filters
-   only spare work: a false hit makes a window be counted, never be removed. As the input outgrows the filters, more is
-   counted; results stay exact.
-4. Windows found twice are gathered by text (a hash of the whole text, so copies share them) and words are removed.
-
-Texts that occur many times in a batch are taken once, with their number.
+reference blocks. Texts are packed into slices, which ask ranges of hashes (see packs):
+
+1. Index and probe: each slice sends the hashes of its rolling runs, and which of them are reference blocks. A run that is a
+   reference block somewhere and occurs at least twice is an anchor; the range replies with one bit for each run.
+2. Extend: about each anchor a slice sends the hashes of the windows that hold it, to the left and to the right, and is told
+   which of them occur at least twice. Runs of such windows are the maximal exact repeats. Counting windows stands for
+   comparing places pair by pair, which a passage that many documents share would make quadratic.
+3. Words that lie in a repeat are removed.
+
+Hashes have more bits the more words there are, so that a false anchor stays rare (it makes a window be counted, never be
+removed) and equal hashes of different windows do not occur in practice. A slice sends a hash once, however often it
+holds it, so a passage that most documents share costs a range one entry for each slice.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,207 +26,221 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .kernels import slices, tokenize, windows
+from .common import cut, table
+from .kernels import Words, tokenize, windows
+from .packs import SLICE, by_range, pack, restore, restore_sorted, squeeze, squeeze_sorted, unpack
 
 WINDOW = 35
-#: Bits of a filter (log), and of the piece of it that one task makes.
-FILTER_LOG, PIECE_LOG = 28, 20
-#: Bytes of text for each range of window hashes; windows that a task holds before it sends them.
-RANGE, HELD = 8 << 20, 1_000_000
+#: Hashes in a range, about.
+RANGE = 2_000_000
+ASKED = "what string, r long, slice long, x binary, y binary"
+REPLY = "slice long, what string, r long, bits binary"
 
 
-def _texts(batches, width):
-    """Distinct long texts of each slice: (words, hashes, rows, number of each)."""
-    for b in batches:
-        for i, j in slices(b.column(0), 1 << 20):
-            keys = np.asarray(b.column(1).slice(i, j - i))
-            _, at, number = np.unique(keys, return_index=True, return_counts=True)
-            t = b.column(0).slice(i, j - i).take(pa.array(at))
-            w = tokenize(t)
-            if len(w.start):
-                yield w, w.hashes(), at + i, number, b
+class Texts:
+    """The distinct texts of a slice: words, their hashes, the text of each row, and the rows of each text."""
+
+    def __init__(self, blob: bytes):
+        self.rows = unpack(blob)
+        once = self.rows.column("t").dictionary_encode()
+        self.text = np.asarray(once.indices)
+        self.words: Words = tokenize(once.dictionary)
+        self.hashes = self.words.hashes()
+        self.times = np.bincount(self.text, minlength=len(once.dictionary))
+
+    def runs(self, size: int, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all runs of `size` words in texts of at least `width` words, their first words, and their texts."""
+        first = self.words.first
+        g, at = windows(self.hashes, first, size, salt)
+        doc = np.searchsorted(first, at, side="right") - 1
+        ok = np.diff(first)[doc] >= width
+        return g[ok], at[ok], doc[ok]
+
+
+def _record(what: str, r: int, slice_: int, x: bytes, y: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([what]), pa.array([r], pa.int64()), pa.array([slice_], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["what", "r", "slice", "x", "y"])
 
 
-def _doc_of(first, at):
-    return np.searchsorted(first, at, side="right") - 1
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by the keys (the first counts most), where new ones begin in it, and the number of each row's key."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
 
 
-def _blocks(width: int):
+def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def _probe(width: int, bits: int, ranges: int):
+    """Hashes of a slice's rolling runs; of each whether it occurs once (1) or more often (2), and (4) is a reference block."""
     size = (width + 1) // 2
 
     def run(batches):
-        for w, h, _, _, _ in _texts(batches, width):
-            g, at = windows(h, w.first, size)
-            d = _doc_of(w.first, at)
-            ok = ((at - w.first[d]) % size == 0) & (np.diff(w.first)[d] >= width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique((g[ok] >> np.uint64(64 - FILTER_LOG)).astype(np.int64)))], ["slot"])
+        for b in batches:
+            for slice_, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = Texts(blob)
+                g, at, doc = t.runs(size, width)
+                key = g >> np.uint64(64 - bits)
+                order, first, _ = _distinct(key)
+                block = _sums((at - t.words.first[doc]) % size == 0, order, first) > 0
+                flag = (np.minimum(_sums(t.times[doc], order, first), 2) + 4 * block).astype(np.uint8)
+                key = key[order[first]]
+                cuts, some = by_range(key, bits, ranges)
+                for r in some:
+                    yield _record("a", r, slice_, squeeze_sorted(key[cuts[r] : cuts[r + 1]]), squeeze(flag[cuts[r] : cuts[r + 1]]))
 
     return run
 
 
-def _piece(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << PIECE_LOG, bool)
-    for b in batches:
-        bits[np.asarray(b.column("slot")) & ((1 << PIECE_LOG) - 1)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["piece", "bits"])
+def _anchors(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _reply(key, batches, lambda x, y: (restore_sorted(x), restore(y, np.uint8)), lambda keys, flags: _two(keys, flags & 3) & (_of(keys, flags >> 2) > 0))
 
 
-def _filter(slots: DataFrame):
-    """A filter with the bits of column slot set, as a broadcast array of bytes: 2**FILTER_LOG bits, whatever the input."""
-    pieces = slots.distinct().groupBy(F.shiftright("slot", PIECE_LOG).alias("piece")).applyInArrow(_piece, "piece long, bits binary")
-    out = np.zeros(1 << (FILTER_LOG - 3), np.uint8)
-    step = 1 << (PIECE_LOG - 3)
-    for r in pieces.toLocalIterator():
-        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return slots.sparkSession.sparkContext.broadcast(out)
+def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(x, y):
+        return restore_sorted(x), restore(y, np.uint8, 5)
 
+    def decide(keys, more):
+        return _two(keys, more[:, 4], np.ascontiguousarray(more[:, :4]).view(np.uint32).reshape(-1))
 
-def _passes(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    slot = (g >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+    return _reply(key, batches, parts, decide)
 
 
-def _anchors(width: int, sent):
-    size = (width + 1) // 2
+def _of(keys: np.ndarray, values: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Each row's sum of values over the rows of the same key."""
+    order, first, which = _distinct(keys, *more)
+    return _sums(values, order, first)[which] if len(keys) else np.zeros(0, np.int64)
 
-    def run(batches):
-        for w, h, _, number, _ in _texts(batches, width):
-            g, at = windows(h, w.first, size)
-            ok = _passes(sent.value, g)
-            g, d = g[ok], _doc_of(w.first, at[ok])
-            long = np.diff(w.first)[d] >= width
-            g, inverse = np.unique(g[long], return_inverse=True)
-            n = np.bincount(inverse, number[d[long]], len(g)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
-    return run
+def _two(keys: np.ndarray, times: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    return _of(keys, times, *more) > 1
 
 
-def _candidates(width: int, sent, ranges: int):
-    """Windows about anchors by range of hash, many in a record: hashes, and for runs of a text its key and places."""
+def _reply(key, batches, parts, decide) -> Iterator[pa.RecordBatch]:
+    """One bit for each key that each slice sent, in its order."""
+    what, r = (k.as_py() for k in key)
+    slices_, keys, values = [], [], []
+    for b in batches:
+        for s, x, y in zip(b.column("slice").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist()):
+            k, v = parts(x, y)
+            slices_.append(s)
+            keys.append(k)
+            values.append(v)
+    yes = decide(np.concatenate(keys), np.concatenate(values))
+    ends = np.cumsum([len(k) for k in keys])
+    out = [np.packbits(yes[j - len(k) : j]).tobytes() + len(k).to_bytes(8, "little") for k, j in zip(keys, ends)]
+    for i in range(0, len(out), 512):
+        n = len(out[i : i + 512])
+        yield pa.RecordBatch.from_arrays([pa.array(slices_[i : i + 512], pa.int64()), pa.array([what] * n), pa.array([r] * n, pa.int64()), pa.array(out[i : i + 512], pa.binary())], ["slice", "what", "r", "bits"])
+
+
+def _bits(replies: pa.Table, what: str) -> np.ndarray:
+    some = sorted((r, x) for w, r, x in zip(*(replies.column(c).to_pylist() for c in ("what", "r", "bits"))) if w == what)
+    return np.concatenate([np.unpackbits(np.frombuffer(x[:-8], np.uint8), count=int.from_bytes(x[-8:], "little")) for _, x in some] or [np.zeros(0, np.uint8)]).astype(bool)
+
+
+def _about_anchors(t: Texts, replies: pa.Table, width: int, bits: int, extra: int) -> tuple[np.ndarray, ...]:
+    """The windows of a slice's texts that hold an anchor: both parts of their hash, their first words, their texts."""
     size = (width + 1) // 2
-
-    def found(batches):
-        for w, h, rows, number, b in _texts(batches, width):
-            g, at = windows(h, w.first, size)
-            hit = at[_passes(sent.value, g)]
-            reach = np.zeros(len(h) + 1, np.int64)  # windows that start up to width - size words before an anchor hold it
-            np.add.at(reach, np.maximum(hit - (width - size), 0), 1)
-            np.add.at(reach, hit + 1, -1)
-            near = np.cumsum(reach[:-1]) > 0
-            g1, at = windows(h, w.first, width)
-            ok = near[at]
-            if ok.any():
-                g2, _ = windows(h, w.first, width, salt=0x51ED270B)
-                at = at[ok]
-                d = _doc_of(w.first, at)
-                t1, t2 = (np.asarray(b.column(c))[rows[d]] for c in (1, 2))
-                yield g1[ok], (g2[ok] >> np.uint64(32)).astype(np.uint32), t1, t2, (at - w.first[d]).astype(np.int32), number[d].astype(np.int32)
-
-    def flush(held):
-        g1, g2, t1, t2, at, n = (np.concatenate(x) for x in zip(*held))
-        part = (g1 >> np.uint64(40)).astype(np.int64) * ranges >> 24
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
-        out = []
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            o = order[i:j]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(t1[o]) != 0) | (np.diff(t2[o]) != 0)]))
-            body = (np.stack([t1[o[new]], t2[o[new]]]), np.diff(np.append(new, len(o))).astype(np.int32), n[o[new]], np.diff(at[o], prepend=0).astype(np.int32))
-            out.append((int(part[o[0]]), g1[o].tobytes(), g2[o].tobytes(), zlib.compress(pickle.dumps(body, 5), 1)))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["r", "g1", "g2", "places"])
-
-    def run(batches):
-        held, count = [], 0
-        for x in found(batches):
-            held.append(x)
-            count += len(x[0])
-            if count > HELD:
-                yield flush(held)
-                held, count = [], 0
-        if held:
-            yield flush(held)
+    g, at, _ = t.runs(size, width)
+    anchor = _bits(replies, "a")[_distinct(g >> np.uint64(64 - bits))[2]] if len(g) else np.zeros(0, bool)
+    hit = at[anchor]
+    reach = np.zeros(len(t.hashes) + 1, np.int64)  # windows that start up to width - size words before an anchor hold it
+    np.add.at(reach, np.maximum(hit - (width - size), 0), 1)
+    np.add.at(reach, hit + 1, -1)
+    near = np.cumsum(reach[:-1]) > 0
+    g1, at, doc = t.runs(width, width)
+    g2 = t.runs(width, width, salt=0x51ED270B)[0]
+    ok = near[at]
+    return g1[ok], (g2[ok] >> np.uint64(32)).astype(np.uint32) & np.uint32((1 << extra) - 1), at[ok], doc[ok]
+
+
+def _extend(width: int, bits: int, extra: int, ranges: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = Texts(left.column("rows")[0].as_py())
+        g1, g2, _, doc = _about_anchors(t, right, width, bits, extra)
+        order, first, _ = _distinct(g1, g2)
+        times = np.minimum(_sums(t.times[doc], order, first), 2).astype(np.uint8)
+        g1, g2 = g1[order[first]], g2[order[first]]
+        more = np.concatenate([g2[:, None].view(np.uint8).reshape(-1, 4), times[:, None]], axis=1)
+        cuts, some = by_range(g1, 64, ranges)
+        slice_ = left.column("slice")[0].as_py()
+        out = [_record("b", r, slice_, squeeze_sorted(g1[cuts[r] : cuts[r + 1]]), squeeze(np.ascontiguousarray(more[cuts[r] : cuts[r + 1]]))) for r in some]
+        return pa.Table.from_batches(out, schema=_record("", 0, 0, b"", b"").schema)
 
     return run
 
 
-def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a range of hashes, the windows found at least twice: for each text their places."""
-    g1, g2, bodies = [], [], []
-    for b in batches:
-        for x, y, z in zip(b.column("g1"), b.column("g2"), b.column("places")):
-            g1.append(np.frombuffer(x.as_py(), np.uint64))
-            g2.append(np.frombuffer(y.as_py(), np.uint32))
-            bodies.append(pickle.loads(zlib.decompress(z.as_py())))
-    sizes = [len(x) for x in g1]
-    g1, g2 = np.concatenate(g1), np.concatenate(g2)
-    n = np.concatenate([np.repeat(x[2], x[1]) for x in bodies])
-    order = np.lexsort((g2, g1))
-    new = np.concatenate([[True], (np.diff(g1[order]) != 0) | (np.diff(g2[order]) != 0)])
-    twice = np.zeros(len(g1), bool)
-    twice[order] = (np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
-    base = 0
-    for size, (keys, m, _, steps) in zip(sizes, bodies):
-        ok = twice[base : base + size]
-        base += size
-        text = np.repeat(np.arange(len(m)), m)[ok]
-        at = np.cumsum(steps).astype(np.int32)[ok]
-        which = np.unique(text)
-        offsets = np.searchsorted(text, np.append(which, len(m)))
-        places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0][which]), pa.array(keys[1][which]), places], ["t1", "t2", "at"])
-
-
-def _finish(width: int):
-    def run(batches):
-        for b in batches:
-            n_words, n_removed, sha = [], [], []
-            for t, starts in zip(b.column(1), b.column(2)):
-                words = t.as_py().split()
-                gone = 0
-                if starts.is_valid:
-                    at = np.asarray(starts.values)
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + width, -1)
-                    keep = np.cumsum(cover[:-1]) == 0
-                    gone = len(words) - int(keep.sum())
-                n_words.append(len(words))
-                n_removed.append(gone)
-                sha.append(b" ".join(compress(words, keep.tolist()) if gone else words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+def _finish(width: int, bits: int, extra: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = Texts(left.column("rows")[0].as_py())
+        g1, g2, at, _ = _about_anchors(t, right, width, bits, extra)
+        twice = at[_bits(right, "b")[_distinct(g1, g2)[2]]] if len(g1) else at
+        cover = np.zeros(len(t.hashes) + 1, np.int64)
+        np.add.at(cover, twice, 1)
+        np.add.at(cover, twice + width, -1)
+        # texts stand one after another, so a repeat that reaches a text's end is told from one that begins the next by
+        # where windows start
+        lone = np.concatenate([[True], np.diff(twice) > 1]) if len(twice) else np.zeros(0, bool)
+        start = twice[lone]
+        stop = np.append(twice[np.flatnonzero(lone)[1:] - 1], twice[-1:]) + width
+        gone = np.cumsum(cover[:-1]) > 0
+        w = t.words
+        removed = np.concatenate([[0], np.cumsum(gone)])
+        removed = removed[w.first[1:]] - removed[w.first[:-1]]
+        kept, spans = [], []
+        edges = np.searchsorted(start, w.first)
+        data = w.buf.tobytes()
+        for d in range(len(w.first) - 1):
+            i, j = int(w.first[d]), int(w.first[d + 1])
+            words = [data[s:e] for s, e in zip(w.start[i:j].tolist(), w.end[i:j].tolist())]
+            kept.append(b" ".join(compress(words, (~gone[i:j]).tolist()) if removed[d] else words))
+            mine = slice(int(edges[d]), int(edges[d + 1]))
+            spans.append([{"start": int(s) - i, "length": int(e - s)} for s, e in zip(start[mine], stop[mine])])
+        of = t.text
+        return pa.table(
+            [t.rows.column("id"), pa.array(np.diff(w.first)[of].astype(np.int64)), pa.array(removed[of].astype(np.int64)), pa.array(kept, pa.binary()).take(pa.array(of)), pa.array(spans, SPANS).take(pa.array(of))],
+            ["doc_id", "n_words", "n_removed", "kept", "repeats"],
+        )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept), one for each row of `docs`: kept has the words that are left (binary UTF-8).
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, most: int = SLICE) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept, repeats), one for each row of `docs`: kept has the words that are left (binary
+    UTF-8), repeats the maximal runs of repeated windows as (first word, number of words).
 
     A word is removed if some window of `width` consecutive words that covers it starts in at least two places of the
     input, in one document or in several. Words are runs without ASCII white space, unchanged; null texts have none, and
     texts of fewer than `width` words lose nothing. A repeated row is a place of its own, so all its words are removed if
-    it has `width` or more. Null ids are carried; other columns are ignored; an empty table gives an empty result.
+    it has `width` or more. Null ids are carried; other columns are ignored; an empty table gives an empty result. A very
+    long text is a slice of its own, and takes a task some 200 bytes of memory for each of its words.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(t.alias("t"), F.xxhash64(t).alias("t1"), F.xxhash64(t, F.lit(1)).alias("t2"), F.col(id_col).alias("doc_id"))
-    src = keyed.select("t", "t1", "t2")
-    first = _filter(src.mapInArrow(_blocks(width), "slot long"))
-    twice = src.mapInArrow(_anchors(width, first), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
-    second = _filter(twice.select(F.expr(f"shiftrightunsigned(g, {64 - FILTER_LOG})").alias("slot")))
-    size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    ranges = max(128, min(1 << 24, size // RANGE))
-    near = src.mapInArrow(_candidates(width, second, ranges), "r long, g1 binary, g2 binary, places binary")
-    marks = near.groupBy("r").applyInArrow(_repeated, "t1 long, t2 long, at array<int>").distinct()
-    marks = marks.groupBy("t1", "t2").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    out = keyed.join(marks, ["t1", "t2"], "left").select("doc_id", F.col("t").cast("binary").alias("t"), "starts")
     dtype = docs.schema[id_col].dataType.simpleString()
-    return out.mapInArrow(_finish(width), f"doc_id {dtype}, n_words long, n_removed long, kept binary")
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size = src.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    about = max(1, int(size[0] or 0) // 5 + size[1])  # words
+    bits = min(64, max(32, about.bit_length() + 5))
+    extra = min(32, max(1, 2 * about.bit_length() + 24 - 64))
+    ranges = max(1, about // RANGE)
+    packs = pack(src, "t", most)
+    anchors = cut(packs.mapInArrow(_probe(width, bits, ranges), ASKED).groupBy("what", "r").applyInArrow(_anchors, REPLY))
+    asked = packs.groupBy("slice").cogroup(anchors.groupBy("slice")).applyInArrow(_extend(width, bits, extra, ranges), ASKED)
+    repeated = asked.groupBy("what", "r").applyInArrow(_repeated, REPLY)
+    out = packs.groupBy("slice").cogroup(anchors.unionByName(repeated).groupBy("slice"))
+    return out.applyInArrow(_finish(width, bits, extra), f"doc_id {dtype}, n_words long, n_removed long, kept binary, repeats array<struct<start:long,length:long>>")
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
