@@ -25,7 +25,7 @@ def found(df):
 def test_exact_and_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()])
-    exact = found(vptree.nearest(df, factor=1.0, shard=1000, block=16))
+    exact = found(vptree.nearest(df, factor=1.0, shard=300, cell=500))
     assert {q: [j for _, j in n] for q, n in exact.items()} == {q: [j for _, j in n] for q, n in want.items()}
     loose = found(vptree.nearest(df))
     hits = [len({j for _, j in loose[q]} & {j for _, j in want[q]}) / len(want[q]) for q in want]
@@ -43,3 +43,14 @@ def test_odd_rows(spark):
     for q in want:
         assert [d for d, _ in got[q]] == pytest.approx([d for d, _ in want[q]], abs=0, rel=1e-15)
     assert vptree.nearest(df.limit(0)).collect() == []
+
+
+def test_repeated_ids(spark):
+    """A query's id many times on one vector, on several vectors, and beside ties: its rows are left out, all others count."""
+    rows = [(100, [1.0, 1.0])] * 12 + [(i, [1.0, 1.0]) for i in range(201, 220)] + [(300, [5.0, float(i)]) for i in range(30)] + [(7, [5.0, 5.0])] * 15 + [(400, [5.0, 40.0])]
+    rows += [(1000 + i, [float(i % 9), float(i % 7)]) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {q: n for q, n in brute(rows).items() if n}
+    for shard, cell in ((8192, 2048), (20, 10)):
+        got = found(vptree.nearest(df, factor=1.0, shard=shard, cell=cell))
+        assert {q: [j for _, j in n] for q, n in got.items()} == {q: [j for _, j in n] for q, n in want.items()}
