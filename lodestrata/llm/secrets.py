@@ -5,7 +5,8 @@ always reported. Weak candidates (endpoints, and bare mixed tokens that might be
 complementary part occurs within the same scope: scopes are blocks of `SCOPE` code points, and a part reaches the blocks
 that touch its own, so the interval join is a look-up of block numbers in the set of blocks that hold a partner. That
 set has at most one entry for each block of the text, whatever the number of parts. Everything is computed within the
-row of a document: no shuffle, and no key that could be hot.
+row of a document: no shuffle, and no key that could be hot. Positions, overlaps and nearest partners come from running sums,
+maxima and minima over sorted spans, by doubling steps, so that n spans take n log n steps.
 """
 
 from __future__ import annotations
@@ -27,6 +28,23 @@ ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\x20\x09-\x0D"'<>]*)?"""
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "endpoint", "bare")
 SCOPE = 512
+#: Code points in a block of a text that is mended.
+PART = 1024
+
+
+NONE = "cast(array() as array<struct<s:int,e:int,h:int>>)"
+_FAR = 1 << 30
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, join) -> Column:
+    """Running results of an associative `join` over an array, in steps that double their reach."""
+    steps = F.filter(F.lit([1 << i for i in range(30)]), lambda k: k < F.size(values))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, join(x, F.get(acc, i - k))).otherwise(x)))
 
 
 def _spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
@@ -35,25 +53,38 @@ def _spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
     Gaps between matches and matches alternate, so running sums of their lengths are the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, F.length)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    held = sizes if not group else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("g"), sizes.alias("m"), held.alias("h"))
-    # the fold keeps one array; each step appends (start, end, length that counts)
-    at = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,h:int>>)").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["m"]).alias("at"),
-            F.when(
-                x["h"] >= least,
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["m"]).alias("e"), x["h"].alias("h")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    none = F.expr("cast(array() as array<struct<s:int,e:int,h:int>>)")
-    return F.when(F.size(found) > 0, at).otherwise(none)
+    held = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else None
+
+    def place(sizes: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("g"), sizes.alias("m"), (sizes if held is None else held).alias("h"))
+
+        def ends(rows: Column) -> Column:
+            both = F.arrays_zip(rows.alias("r"), _running(F.transform(rows, lambda x: x["g"] + x["m"]), lambda x, y: x + y).alias("e"))
+            return F.filter(F.transform(both, lambda x: F.struct((x["e"] - x["r"]["m"]).alias("s"), x["e"].alias("e"), x["r"]["h"].alias("h"))), lambda x: x["h"] >= least)
+
+        return _let(rows, ends)
+
+    return _let(F.transform(found, F.length), lambda sizes: F.when(F.size(sizes) > 0, place(sizes)).otherwise(F.expr(NONE)))
+
+
+def _flanked(spans: Column, others: Column, place, last, first) -> Column:
+    """Rows (x, before, after) for each span x, in order: the greatest `last` of the others that stand at its place or before,
+    and the least `first` of those that stand after."""
+
+    def row(kind: int):
+        return lambda x: F.struct(place(x).alias("p"), F.lit(kind).alias("k"), F.when(F.lit(kind == 0), last(x)).otherwise(-_FAR).alias("l"), F.when(F.lit(kind == 0), first(x)).otherwise(_FAR).alias("f"), x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"))
+
+    def flank(events: Column) -> Column:
+        before = _running(F.transform(events, lambda x: x["l"]), F.greatest)
+        after = F.reverse(_running(F.transform(F.reverse(events), lambda x: x["f"]), F.least))
+        return F.filter(F.arrays_zip(events.alias("x"), before.alias("before"), after.alias("after")), lambda z: z["x"]["k"] == 1)
+
+    return _let(F.array_sort(F.concat(F.transform(others, row(0)), F.transform(spans, row(1)))), flank)
+
+
+def _plain(flanked: Column) -> Column:
+    return F.transform(flanked, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["e"].alias("e"), z["x"]["h"].alias("h")))
 
 
 def _tag(spans: Column, rank: int) -> Column:
@@ -66,20 +97,28 @@ def _join(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _scopes(spans: Column, scope: int) -> Column:
-    return F.array_distinct(F.transform(spans, lambda x: F.floor(x["s"] / scope)))
-
-
 def _beside(weak: Column, partners: Column, scope: int) -> Column:
     """The weak spans with a partner in their own scope or one that touches it."""
-    return F.filter(weak, lambda w: F.exists(partners, lambda b: F.abs(b - F.floor(w["s"] / scope)) <= 1))
+
+    def block(x: Column) -> Column:
+        return F.floor(x["s"] / scope).cast("int")
+
+    near = F.filter(_flanked(weak, partners, block, block, block), lambda z: (z["x"]["p"] - z["before"] <= 1) | (z["after"] - z["x"]["p"] <= 1))
+    return _plain(near)
+
+
+def _clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    rows = _flanked(spans, others, lambda x: x["s"], lambda x: x["e"], lambda x: x["s"])
+    return _plain(F.filter(rows, lambda z: (z["before"] <= z["x"]["s"]) & (z["after"] >= z["x"]["e"])))
 
 
 def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """`docs` with array columns _assign, _access, _hex (base), _endpoint, _bare (linked weak spans): structs (s, e).
 
     Null texts count as empty and have no span. Work is by row, so repeated rows give repeated results, an empty table
-    an empty one; columns of these five names are replaced.
+    an empty one; columns of these five names are replaced. A very long text of n spans takes memory for its spans, and n log n
+    steps.
 
     Links: an endpoint needs a secret or an access identifier in reach; a bare token, not inside a base span, needs an
     access identifier, or an endpoint, in reach.
@@ -94,17 +133,16 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
             "_endpoint": F.when(t.contains("://"), _spans(t, ENDPOINT, 0)),
         }
     )
-    none = F.expr("cast(array() as array<struct<s:int,e:int,h:int>>)")
+    none = F.expr(NONE)
     base = base.withColumns({c: F.coalesce(F.col(c), none) for c in ("_assign", "_access", "_endpoint")})
     anchored = (F.size("_access") > 0) | (F.size("_endpoint") > 0)
     base = base.withColumn("_bare", F.when(anchored, _spans(t, BARE, 0)).otherwise(none))
     strong = F.concat("_assign", "_access", "_hex")
-    mixed = F.filter("_bare", lambda w: ~F.exists(strong, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])) & ~F.exists("_endpoint", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    base = base.withColumn("_bare", F.when(F.size("_bare") > 0, mixed).otherwise(none))
+    base = base.withColumn("_bare", F.when(F.size("_bare") > 0, _clear_of(F.col("_bare"), F.concat(strong, F.col("_endpoint")))).otherwise(none))
     return base.withColumns(
         {
-            "_endpoint": F.when(F.size("_endpoint") > 0, _beside(F.col("_endpoint"), _scopes(strong, scope), scope)).otherwise(none),
-            "_bare": F.when(F.size("_bare") > 0, _beside(F.col("_bare"), _scopes(F.concat("_access", "_endpoint"), scope), scope)).otherwise(none),
+            "_endpoint": F.when(F.size("_endpoint") > 0, _beside(F.col("_endpoint"), strong, scope)).otherwise(none),
+            "_bare": F.when(F.size("_bare") > 0, _beside(F.col("_bare"), F.concat("_access", "_endpoint"), scope)).otherwise(none),
         }
     )
 
@@ -125,15 +163,23 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", scop
     marked = scan(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text")), "_text", scope)
     t = F.col("_text")
     spans = F.array_sort(F.concat(*(_tag(F.col(f"_{k}"), i) for i, k in enumerate(KINDS))))
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= a["at"], F.concat(a["out"], t.substr(a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))),
-    )
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b - 1, from the blocks of the text that hold them."""
+
+        def part(j: Column) -> Column:
+            lo = F.greatest(a - j * PART, F.lit(0))
+            return F.get(blocks, j).substr(lo + 1, F.least(b - j * PART, F.lit(PART)) - lo)
+
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PART).cast("int"), F.floor((b - 1) / PART).cast("int")), part), "")).otherwise("")
+
+    def mend(z: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), _running(F.transform(z["spans"], lambda x: x["e"]), F.greatest))
+        rows = F.slice(F.arrays_zip(z["spans"].alias("x"), ends.alias("at")), F.lit(1), F.size(z["spans"]))
+        kept = F.transform(rows, lambda r: F.when(r["x"]["s"] >= r["at"], F.concat(piece(z["blocks"], r["at"], r["x"]["s"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), _let(F.array_max(ends), lambda at: piece(z["blocks"], at, z["size"])))
+
+    merged = _let(F.struct(spans.alias("spans"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("blocks"), F.length(t).alias("size")), mend)
     hit = reduce(lambda a, b: a | b, (F.size(f"_{k}") > 0 for k in KINDS))
     return marked.select(*(F.when(hit, merged).otherwise(t).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
 
