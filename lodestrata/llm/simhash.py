@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, join_hot
 
 #: Fingerprints in a grid cell up to which they are compared with each other.
 HOT = 48
@@ -174,13 +174,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of `docs`, whatever their names, are ignored. An empty table gives an empty result.
     """
     each = cut(fingerprints(docs, id_col, text_col, width))
-    fps = cut(each.groupBy("fp").agg(F.min("id").alias("rep")))
+    fps = cut(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     linked = connected_components(links(fps.select("fp"), bits))
-    linked = fps.join(linked.withColumnRenamed("v", "fp"), "fp")
+    linked = fps.select("fp", "rep").join(linked.withColumnRenamed("v", "fp"), "fp")
     roots = linked.groupBy("comp").agg(F.min("rep").alias("root"))
     moved = linked.join(roots, "comp").select("fp", "root")
-    classes = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return each.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(fps.join(moved, "fp", "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")))
+    total = fps.agg(F.sum("n")).first()[0] or 0
+    return join_hot(each, classes, "fp", "n", total).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
