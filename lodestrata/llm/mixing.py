@@ -75,21 +75,26 @@ def fit(docs: DataFrame, labels: DataFrame, domains: dict[str, str], max_labels:
     return prior, [[round(v - m, 6) for v, m in zip(r, mean, strict=True)] for r in like]
 
 
-def memberships(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, tokens, p0, p1, ...): words of each row's text, and the probabilities of the domains."""
+def memberships(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Rows (id, tokens, p0, p1, ...): words of each row's text, and the probabilities of the domains; with `carry` also
+    _row, the row itself. Computed within the row, so repeated rows stay apart and no word is shuffled."""
     prior, like = model
     k = range(len(like))
-    # rows are numbered as they are read and summed by that number within the same job: repeated rows stay apart
-    e = docs.select(F.monotonically_increasing_id().alias("_r"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    e = e.select("_r", "_id", F.explode_outer(_words(F.col("_t"))).alias("_w"))  # a step of its own: else words are numbered
-    e = e.select("_r", "_id", (F.col("_w") != "").cast("int").alias("_n"), _bucket(F.col("_w")).alias("_b"))
-    sums = (F.sum(F.when(F.col("_n") == 1, F.get(_table(r), F.col("_b")))).alias(f"s{i}") for i, r in enumerate(like))
-    e = e.groupBy("_r", "_id").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("double").alias("_n"), *sums)
-    scale = F.least(F.lit(1.0), F.lit(SOFTNESS) / F.greatest(F.col("_n"), F.lit(1.0)))
-    e = e.select("_id", "_n", F.array(*(F.lit(prior[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * scale for i in k)).alias("_l"))
-    e = e.select("_id", "_n", *(F.exp(F.col("_l")[i] - F.array_max("_l")).alias(f"e{i}") for i in k))
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("_row")] if carry else []
+    words = F.filter(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: w != "")
+    e = docs.select(*row, F.col(id_col).alias("id"), F.transform(words, _bucket).alias("_b"))
+
+    def total(values: list[float]) -> Column:
+        t = _table(values)
+        return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.get(t, b))
+
+    rest = ["_row"] if carry else []
+    e = e.select(*rest, "id", F.size("_b").cast("double").alias("tokens"), *(total(r).alias(f"s{i}") for i, r in enumerate(like)))
+    scale = F.least(F.lit(1.0), F.lit(SOFTNESS) / F.greatest(F.col("tokens"), F.lit(1.0)))
+    e = e.select(*rest, "id", "tokens", F.array(*(F.lit(prior[i]) + F.col(f"s{i}") * scale for i in k)).alias("_l"))
+    e = e.select(*rest, "id", "tokens", *(F.exp(F.col("_l")[i] - F.array_max("_l")).alias(f"e{i}") for i in k))
     z = sum((F.col(f"e{i}") for i in k), F.lit(0.0))
-    return e.select(F.col("_id").alias("id"), F.col("_n").alias("tokens"), *((F.col(f"e{i}") / z).alias(f"p{i}") for i in k))
+    return e.select(*rest, "id", "tokens", *((F.col(f"e{i}") / z).alias(f"p{i}") for i in k))
 
 
 def fit_rates(members: DataFrame, shares: list[float], steps: int = STEPS, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
@@ -146,6 +151,25 @@ def missed(have: list[float], shares: list[float], within: float = 1e-2) -> list
     return [i for i, (h, s) in enumerate(zip(have, shares, strict=True)) if abs(h - s) > within * s + 1e-6]
 
 
+def _fitted(docs, labels, domains, targets, id_col, text_col, max_labels, steps):
+    """The classifier, the members, and the rate of each as an expression."""
+    shares = [float(targets[d]) for d in domains]
+    shares = [s / sum(shares) for s in shares]
+    model = fit(docs, labels, domains, max_labels, id_col, text_col)
+    members = cut(memberships(docs, model, id_col, text_col))
+    rate, have = fit_rates(members, shares, steps)
+    if off := missed(have, shares):
+        said = ", ".join(f"{d} {have[i]:.4g} of {shares[i]:.4g}" for i, d in enumerate(domains) if i in off)
+        warnings.warn(f"the documents' memberships do not reach the targets: {said} of all tokens", MixWarning, stacklevel=3)
+    return model, members, rate
+
+
+def _dealt(members: DataFrame, rate: Column, domains) -> list[Column]:
+    luck = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(rate) + (luck < rate - F.floor(rate)).cast("long")
+    return [F.col("tokens").cast("long").alias("tokens"), *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"), copies.alias("copies")]
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
@@ -161,22 +185,35 @@ def mix(
     rate is how often a document should be seen on average; copies, its rate rounded up or down at random by a hash of
     its id, so that expected totals are kept. Null and empty texts have no tokens and the domains' priors; they move no
     total. Null ids are carried; repeated rows are rated alike; an empty table gives an empty result; other columns are
-    ignored. Targets are scaled to sum to one. If they are out of reach, a MixWarning names the shares that are reached.
+    ignored. Targets are scaled to sum to one. If they are out of reach, a MixWarning names the shares that are reached. A
+    very long text takes memory in proportion to its words.
     """
     domains, targets = domains or DOMAINS, targets or TARGETS
-    shares = [float(targets[d]) for d in domains]
-    shares = [s / sum(shares) for s in shares]
-    members = cut(memberships(docs, fit(docs, labels, domains, max_labels, id_col, text_col), id_col, text_col))
-    rate, have = fit_rates(members, shares, steps)
-    if off := missed(have, shares):
-        said = ", ".join(f"{d} {have[i]:.4g} of {shares[i]:.4g}" for i, d in enumerate(domains) if i in off)
-        warnings.warn(f"the documents' memberships do not reach the targets: {said} of all tokens", MixWarning, stacklevel=2)
-    luck = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    out = members.withColumn("rate", rate)
-    return out.select(
-        F.col("id").alias(id_col), F.col("tokens").cast("long").alias("tokens"), *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)),
-        "rate", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
-    )
+    _, members, rate = _fitted(docs, labels, domains, targets, id_col, text_col, max_labels, steps)
+    return members.select(F.col("id").alias(id_col), *_dealt(members, rate, domains))
+
+
+def mixed(
+    docs: DataFrame,
+    labels: DataFrame,
+    domains: dict[str, str] | None = None,
+    targets: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_labels: int = MAX_LABELS,
+    steps: int = STEPS,
+) -> DataFrame:
+    """The mixed table: the rows of `docs` that mix() gives at least one copy, with all their columns and tokens, p_<domain>...,
+    rate and copies, which stand for so many repetitions. Columns of these names in `docs` are replaced.
+
+    Texts are not stored or shuffled for it: memberships are computed again where a row is.
+    """
+    domains, targets = domains or DOMAINS, targets or TARGETS
+    model, members, rate = _fitted(docs, labels, domains, targets, id_col, text_col, max_labels, steps)
+    new = ["tokens", *(f"p_{d}" for d in domains), "rate", "copies"]
+    rows = memberships(docs, model, id_col, text_col, carry=True)
+    rows = rows.select("_row", *_dealt(rows, rate, domains)).where("copies > 0")
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -131,14 +131,18 @@ def classify(
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
     w = fit(docs, labels, max_labels, id_col, text_col)
     keys = [F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path")]
-    mine = own_evidence(w).alias("p")
-    lean = with_parts(docs.select(*keys, F.col(text_col).alias("_t")), "_t")
-    paths, m, k = posteriors(lean.select("host", "path", mine))
+    mine = own_evidence(w)
     names = ("host", "path", "own_score", "host_posterior", "path_posterior", "quality_score", "keep")
     kept = [c for c in docs.columns if c not in names and (carry or c != text_col)]
     row = F.struct(*(docs[c] for c in kept)) if kept else F.struct(F.lit(0))
     each = with_parts(docs.select(row.alias("_row"), keys[0].alias("_host"), keys[1].alias("_path"), F.col(text_col).alias("_t")), "_t")
     each = each.select("_row", "_host", "_path", mine.alias("_p"))
+    if carry:  # texts are not stored again: their features are computed twice instead
+        lean = with_parts(docs.select(*keys, F.col(text_col).alias("_t")), "_t").select("host", "path", mine.alias("p"))
+    else:
+        each = cut(each)
+        lean = each.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p"))
+    paths, m, k = posteriors(lean)
     prior = paths.select(F.col("host").alias("_h"), F.col("path").alias("_l"), "s", "n", F.col("host_posterior").alias("_hp"))
     each = each.join(prior, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_l")))
     others = (F.lit(k) * F.col("_hp") + F.col("s") - F.col("_p")) / (F.lit(k) + F.col("n") - 1)
