@@ -212,7 +212,8 @@ def mixed(
     model, members, rate = _fitted(docs, labels, domains, targets, id_col, text_col, max_labels, steps)
     new = ["tokens", *(f"p_{d}" for d in domains), "rate", "copies"]
     rows = memberships(docs, model, id_col, text_col, carry=True)
-    rows = rows.select("_row", *_dealt(rows, rate, domains)).where("copies > 0")
+    # the row number keeps the condition where it is: pushed down, it would be computed from the text once for each mention
+    rows = rows.select("_row", *_dealt(rows, rate, domains), F.monotonically_increasing_id().alias("_at")).where("copies > 0 and _at >= 0")
     return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
