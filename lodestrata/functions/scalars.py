@@ -76,9 +76,11 @@ def retry_delay_ms(attempt: Column) -> Column:
     return F.call_function("shiftleft", F.lit(250).cast("long"), attempt.cast("int") - 1)
 
 
-def error_class(message: Column) -> Column:
-    """permanent or transient, by what an error says."""
-    return F.when(F.lower(message).rlike("not found|forbidden|unauthorized|invalid|corrupt"), "permanent").otherwise("transient")
+def format_count(n: Column) -> Column:
+    out = n.cast("string")
+    for size, u in ((10**3, "k"), (10**6, "M"), (10**9, "G")):
+        out = F.when(n >= size, F.concat(F.format_string("%.1f", n / float(size)), F.lit(u))).otherwise(out)
+    return out
 
 
 def sorted_json(m: Column) -> Column:

@@ -123,8 +123,12 @@ def rotated_estimate(touches: DataFrame, key: str, order: str, every: int, cap:
     return t.groupBy(key).agg((part(0) + F.shiftright(part(1), 1)).alias("estimate"))
 
 
-def rates_from_counters(rows: DataFrame, by: list[str], ts: str, counter: str) -> DataFrame:
-    """Mean and peak of a counter's rate a second between samples."""
+def rates_from_counters(rows: DataFrame, by: list[str], ts: str, counter: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Mean and peak of a counter's rate a second between samples, of those at or after `since` and at or before `until`."""
+    if since is not None:
+        rows = rows.where(F.col(ts) >= since)
+    if until is not None:
+        rows = rows.where(F.col(ts) <= until)
     w = Window.partitionBy(*by).orderBy(ts, counter)
     d = rows.withColumns({"_d": F.col(counter) - F.lag(counter).over(w), "_t": (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6}).where("_t > 0")
     return d.groupBy(*by).agg(F.round(F.avg(F.col("_d") / F.col("_t")), 6).alias("mean_rate"), F.round(F.max(F.col("_d") / F.col("_t")), 6).alias("peak_rate"))
@@ -172,3 +176,28 @@ def turnover_estimate(touches: DataFrame, sketch: str, key: str, order: str, siz
         return F.least(F.sum(F.when(F.col("gen") == F.col("_active") - ago, F.col("n")).otherwise(0)), F.lit(cap))
 
     return counts.groupBy(sketch, key).agg((part(0) + F.shiftright(part(1), 1)).alias("estimate"))
+
+
+def window_latency(events: DataFrame, ts: str, width: str, ns: str, seconds: int) -> DataFrame:
+    """By window of time that has events: operations, bytes and duplicates a second and in per mille, and the median, 99th
+    percentile and maximum of the latency, from its histogram: (window_start, ops, ops_per_s, bytes_per_s, dedup_milli, p50,
+    p99, top). Windows without events have no row. `events` has bytes and dedup (whether a write was one)."""
+    e = events.withColumn("window_start", F.window(ts, width).start)
+    h = histogram(e, ["window_start"], ns)
+    parts = [histogram_percentile(h, ["window_start"], m).withColumnRenamed("value", n) for m, n in ((500, "p50"), (990, "p99"))]
+    top = h.groupBy("window_start").agg(F.max("top").alias("top"))
+    g = e.groupBy("window_start").agg(F.count("*").alias("ops"), F.round(F.count("*") / seconds, 6).alias("ops_per_s"), F.round(F.sum("bytes") / seconds, 6).alias("bytes_per_s"), F.expr("count_if(dedup) * 1000 div count(*)").alias("dedup_milli"))
+    return g.join(parts[0], "window_start").join(parts[1], "window_start").join(top, "window_start")
+
+
+def throughput(rows: DataFrame, by: str, bytes_: str, seconds: float) -> DataFrame:
+    """Operations and MiB a second of each group of a run that took `seconds`."""
+    g = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(bytes_).alias("b"))
+    return g.select(by, F.round(F.col("n") / seconds, 6).alias("ops_per_s"), F.round(F.col("b") / (seconds * (1 << 20)), 9).alias("mib_per_s"))
+
+
+def cumulative_points(deltas: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Counter differences as the cumulative points that a metrics receiver takes: (by..., order, total, json)."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = deltas.withColumn("total", F.sum(value).over(w))
+    return out.select(*by, order, "total", F.to_json(F.struct(*by, order, "total")).alias("json"))

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import formats as fm
 from ..functions import scalars as sc
 from ..operators import cdc
 from ..operators import chunks as ch
+from ..operators import ingest as ig
 from ..operators import intervals as iv
 from ..operators import lookups as lk
 from ..operators import objects as ob
@@ -665,10 +667,10 @@ def small_numbers(x):
     return x["part"].select("p_partkey", sc.next_pow2(F.col("p_size")).alias("pow2"), sc.align_down(p * 100, 8192).alias("aligned"), sc.retry_delay_ms(F.col("p_size") % 6 + 1).alias("delay_ms"), F.coalesce(mode, octal).alias("mode"))
 
 
-@query("SELECT event_id, CASE WHEN v >= 1000000 THEN printf('%.1fms', v / 1000000.0) WHEN v >= 1000 THEN printf('%.1fus', v / 1000.0) ELSE CAST(v AS VARCHAR) || 'ns' END AS t, CASE WHEN event_type LIKE '%invalid%' THEN 'permanent' ELSE 'transient' END AS err FROM (SELECT *, (event_id * 2026 + 1) % 900000001 AS v FROM {access}) a")
+@query("SELECT event_id, CASE WHEN v >= 1000000 THEN printf('%.1fms', v / 1000000.0) WHEN v >= 1000 THEN printf('%.1fus', v / 1000.0) ELSE CAST(v AS VARCHAR) || 'ns' END AS t, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS lasting FROM (SELECT *, (event_id * 2026 + 1) % 900000001 AS v FROM {access}) a")
 def format_times(x):
     v = (F.col("event_id") * 2026 + 1) % 900000001
-    return x["access"].select("event_id", sc.format_ns(v).alias("t"), sc.error_class(F.col("event_type")).alias("err"))
+    return x["access"].select("event_id", sc.format_ns(v).alias("t"), fm.is_permanent(F.element_at(F.lit(["not_found", "timeout", "eof", "corrupt", "not_found", "eof"]), (F.col("event_id") % 6 + 1).cast("int")), F.when(F.col("event_id") % 6 == 1, False).when(F.col("event_id") % 6 == 4, True)).alias("lasting"))
 
 
 # --- content-defined chunks, physical forms, reads -------------------------------------------------------------------
@@ -786,6 +788,207 @@ def generation_append(x):
     return lk.append_generation(g, "next")
 
 
+# --- small formats ---------------------------------------------------------------------------------------------------
+
+
+def _pick(n: str, items: list) -> str:
+    """SQL of the n-th of some strings, in both engines."""
+    return "CASE " + n + " " + " ".join(f"WHEN {i} THEN {x!r}" for i, x in enumerate(items)) + " END"
+
+
+RULES_OF = ["a/b.txt", "a:b", "a:-", "d/", "/d/:o/", "d/:", ":o/", "a/b:", "./d/:o/x/", "../x", "d/:-", ":x", "a:b/", "/"]
+PARSED = [("a/b.txt", "a/b.txt", False), ("a", "b", False), ("a", "-", False), ("d", "d", True), ("d", "o", True), ("d", ".", True), ("", "o", True), ("a/b", "b", False), ("d", "o/x", True)] + [(None, None, None)] * 5
+
+
+@query("SELECT p_partkey, rule, tar, fs, prefix FROM (SELECT p_partkey, p_partkey % 14 AS i FROM part) p JOIN (VALUES " + ", ".join(f"({i}, '{r}', {'NULL' if t is None else repr(t)}, {'NULL' if f is None else repr(f)}, {'NULL' if p is None else p})" for i, (r, (t, f, p)) in enumerate(zip(RULES_OF, PARSED))) + ") r(i, rule, tar, fs, prefix) USING (i)")
+def parse_rule(x):
+    r = x["part"].select("p_partkey", F.expr(_pick("p_partkey % 14", RULES_OF)).alias("rule"))
+    return r.withColumn("r", fm.parse_rule(F.col("rule"))).select("p_partkey", "rule", "r.tar", "r.fs", "r.prefix")
+
+
+OWNERS = ["1000", "7:8", "web", "web:adm", "db:db", "db:nobody", "x", ":5", "-3", "9:web"]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 1000 WHEN 1 THEN 7 WHEN 2 THEN 33 WHEN 3 THEN 33 WHEN 4 THEN 70 END AS uid, CASE p_partkey % 10 WHEN 0 THEN 1000 WHEN 1 THEN 8 WHEN 2 THEN 34 WHEN 3 THEN 4 WHEN 4 THEN 71 END AS gid FROM part")
+def parse_owner(x):
+    o = fm.parse_owner(F.expr(_pick("p_partkey % 10", OWNERS)), {"web": (33, 34), "db": (70, 71)}, {"adm": 4})
+    return x["part"].select("p_partkey", o.alias("o")).select("p_partkey", "o.uid", "o.gid")
+
+
+@query("SELECT event_id, CAST(CASE WHEN a + b < 18446744073709551616 THEN a + b END AS VARCHAR) AS total, CAST(CASE WHEN a * b < 18446744073709551616 THEN a * b END AS VARCHAR) AS product FROM (SELECT event_id, CAST(9223372036854775807 AS HUGEINT) + event_id AS a, CAST(event_id % 3 AS HUGEINT) * 9223372036854775000 + event_id % 5 AS b0, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 3 AS HUGEINT) ELSE CAST(event_id % 3 AS HUGEINT) * 922337203685477500 + event_id % 5 END AS b FROM events) e")
+def checked_arithmetic(x):
+    e = x["events"].select("event_id", (F.lit(2**63 - 1).cast("decimal(20,0)") + F.col("event_id")).cast("decimal(20,0)").alias("a"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 3).otherwise((F.col("event_id") % 3) * 922337203685477500 + F.col("event_id") % 5).alias("b"))
+    return e.select("event_id", fm.checked_add(F.col("a"), F.col("b")).cast("string").alias("total"), fm.checked_mul(F.col("a"), F.col("b")).cast("string").alias("product"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'fifo' WHEN 2 THEN 'char' WHEN 4 THEN 'dir' WHEN 6 THEN 'block' WHEN 8 THEN 'file' END AS kind, CAST((p_partkey % 300) % 256 + p_size * 256 + ((p_partkey % 300) // 256) * 1048576 AS BIGINT) AS device FROM part")
+def node_kinds(x):
+    mode = F.shiftleft((F.col("p_partkey") % 9).cast("int"), 12) + F.lit(0o644)
+    return x["part"].select("p_partkey", fm.node_type(mode).alias("kind"), fm.device_number(F.col("p_size"), F.col("p_partkey") % 300).alias("device"))
+
+
+KINDS = ["http", "dns_timeout", "timeout", "eof", "cancelled", "connection"]
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN 'http_503' WHEN event_id % 4 = 2 THEN NULL END WHEN 1 THEN 'dns_timeout' WHEN 2 THEN 'network_timeout' WHEN 3 THEN 'unexpected_eof' WHEN 5 THEN 'connection_error' END AS reason, (event_id % 5 + 1) * 5000 AS delay_ms FROM events")
+def retry_reasons(x):
+    kind, status = F.expr(_pick("event_id % 6", KINDS)), F.when(F.col("event_id") % 4 == 0, 503).otherwise(404)
+    return x["events"].select("event_id", fm.retry_reason(kind, status).alias("reason"), fm.layer_retry_delay_ms(F.col("event_id") % 5 + 1).alias("delay_ms"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderdate <= {NOW} AND (o_orderkey % 3 <> 0 OR {NOW} < o_orderdate + INTERVAL 400 DAY) AND o_orderkey % 7 <> 0 THEN o_orderdate END AS imported FROM orders")
+def valid_at(x):
+    o = x["orders"].withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    text = fm.format_valid_at(F.col("t"), F.when(F.col("o_orderkey") % 3 == 0, 400))
+    text = F.when(F.col("o_orderkey") % 3 == 0, text).otherwise(fm.format_valid_at(F.col("t")))
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("x"), text)).otherwise(text)
+    return o.select("o_orderkey", fm.parse_valid_at(text, F.expr(NOW).cast("timestamp")).cast(o.schema["o_orderdate"].dataType).alias("imported"))
+
+
+@query("SELECT page_id, page_id % 4 < 2 AS readable, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'a/' || page_id || chr(10) || 'b' || chr(10) END AS encoded, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 2 END AS n FROM pages")
+def reference_lists(x):
+    refs = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("b"), F.lit("b"))).otherwise(F.array(F.concat(F.lit("a/"), "page_id"), F.lit("b")))
+    kind = F.expr(_pick("page_id % 4", [fm.LAYER_TYPES[0], fm.LAYER_TYPES[7], "text/plain", "application/json"]))
+    p = x["pages"].select("page_id", fm.readable_layer(kind).alias("readable"), fm.encode_refs(refs).alias("encoded"))
+    return p.withColumn("n", F.size(fm.parse_refs(F.col("encoded")))).withColumn("n", F.when(F.col("encoded").isNotNull(), F.col("n")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE '01' || CASE doc_id % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' ELSE '03' END || CASE WHEN doc_id % 2 = 0 THEN '02' ELSE '01' END || sha256(encode(text)) END AS cache_key, 39 + octet_length(encode(text)) AS frame_size, sha256(encode(text)) AS value_key, doc_id % 3 AS status FROM documents WHERE octet_length(encode(text)) < 4000000")
+def wire_frames(x):
+    """Cache keys, and texts through request and response frames and back."""
+    d = x["documents"].select("doc_id", F.encode("text", "utf-8").alias("v")).where("octet_length(v) < 4000000").withColumn("k", F.unhex(F.sha2("v", 256)))
+    d = d.withColumn("q", fm.encode_request(F.lit(2), F.lit(1), F.lit(0), F.col("k"), F.col("v"))).withColumn("r", fm.decode_request(F.col("q")))
+    d = d.withColumn("s", fm.decode_response(fm.encode_response(F.col("doc_id") % 3, F.lit("né"), F.col("r.value"))))
+    key = fm.cache_key(F.expr(_pick("doc_id % 4", ["chunk", "manifest", "blob", "other"])), F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1), F.lower(F.hex("r.key")))
+    return d.select("doc_id", F.lower(F.hex(key)).alias("cache_key"), F.octet_length("q").alias("frame_size"), F.sha2("s.value", 256).alias("value_key"), F.col("s.status").alias("status"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '/abs/f' WHEN 1 THEN '/work/rel' WHEN 2 THEN '/srv/a/img' END AS file, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE sha256(encode('accelerator-salt-v1g' || (o_orderkey % 5))) END AS salt FROM orders")
+def resolve_files(x):
+    ref = sc.parse_ref(F.expr(_pick("o_orderkey % 4", ["file:///abs/f", "file://rel", "file://img@location:one", "file://img@location:gone"])))
+    name = F.when(F.col("o_orderkey") % 5 == 0, "../x").otherwise(F.concat(F.lit("g"), (F.col("o_orderkey") % 5).cast("string")))
+    return x["orders"].select("o_orderkey", fm.resolve_file(ref, F.create_map(F.lit("one"), F.lit("/srv/a/")), F.lit("/work")).alias("file"), F.lower(F.hex(fm.generation_salt(name))).alias("salt"))
+
+
+@query("SELECT o_custkey, CASE WHEN bool_or(o_orderkey % 11 = 0) THEN 'unsafe: ..' WHEN count(DISTINCT o_orderkey % 7) < count(*) THEN 'repeated' END AS problem FROM orders GROUP BY o_custkey")
+def generations_check(x):
+    name = F.when(F.col("o_orderkey") % 11 == 0, "..").otherwise(F.concat(F.lit("g"), (F.col("o_orderkey") % 7).cast("string")))
+    g = x["orders"].groupBy("o_custkey").agg(F.collect_list(name).alias("n"))
+    return g.select("o_custkey", fm.generations_problem(F.col("n")).alias("problem"))
+
+
+@query()
+def bench_keys(x):
+    e = x["events"].select("event_id")
+    return e.select("event_id", *(fm.bench_key(F.col("event_id"), 500, 50, a, 100).alias(a) for a in ("seq", "uniform", "zipf")))
+
+
+# --- ingest, containers, contracts -----------------------------------------------------------------------------------
+
+
+PAYLOAD = "CASE kind WHEN 2 THEN repeat(chr(CAST(65 + chunk % 26 AS INT)), CAST(e - s AS INT)) END"
+SEGMENTS = """s AS (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY image ORDER BY s) = s THEN 0 ELSE 1 END AS new FROM {runs} WHERE kind <> 0), g AS (SELECT *, sum(new) OVER (PARTITION BY image ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM s),
+    b AS (SELECT image, min(s) AS s, string_agg(CASE kind WHEN 2 THEN repeat(chr(CAST(65 + chunk % 26 AS INT)), CAST(e - s AS INT)) ELSE repeat('0', CAST(e - s AS INT)) END, '' ORDER BY s) AS t FROM g GROUP BY image, g),
+    c AS (SELECT image, s + off AS s, t[off + 1:off + 4096] AS t FROM (SELECT image, s, t, unnest(range(0, length(t), 4096)) AS off FROM b) u)"""
+
+
+def _stored_runs(x):
+    r = x["runs"]
+    return r.withColumn("data", F.when(F.col("kind") == iv.DATA, F.encode(F.repeat(F.char(65 + F.col("chunk") % 26), (F.col("end") - F.col("start")).cast("int")), "utf-8")))
+
+
+@query(f"WITH {SEGMENTS} SELECT image, row_number() OVER (PARTITION BY image ORDER BY s) - 1 AS ordinal, s AS \"start\", length(t) AS size, t = repeat('0', length(t)) AS is_zero FROM c")
+def ingest_entries(x):
+    """Entries of images that are ingested run by run: segments between holes in chunks of 4096 bytes."""
+    e, _ = ig.ingest(_stored_runs(x), F.lit(b"salt"), 4096)
+    return e.select("image", "ordinal", "start", "size", "is_zero")
+
+
+@query(f"WITH {SEGMENTS} SELECT count(DISTINCT t) AS objects, CAST(sum(length(t)) FILTER (k = 1) AS BIGINT) AS bytes FROM (SELECT t, row_number() OVER (PARTITION BY t ORDER BY s) AS k FROM c WHERE t <> repeat('0', length(t))) d")
+def ingest_objects(x):
+    """The objects that the same images need: one of each different chunk that is not all zeros."""
+    _, o = ig.ingest(_stored_runs(x), F.lit(b"salt"), 4096)
+    return o.agg(F.countDistinct("object_key").alias("objects"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'exists' WHEN doc_id % 5 = 1 THEN 'bad size' WHEN doc_id % 5 = 2 THEN 'bad digest' ELSE 'stored' END AS state FROM documents")
+def put_states(x):
+    v = F.encode("text", "utf-8")
+    key = F.when(F.col("doc_id") % 5 == 2, F.sha2(F.concat(v, F.lit(b"x")), 256)).otherwise(F.sha2(v, 256))
+    o = x["documents"].select("doc_id", F.concat(F.lit("g"), "doc_id").alias("generation"), key.alias("key"), v.alias("data"), (F.octet_length(v) + F.when(F.col("doc_id") % 5 == 1, 1).otherwise(0)).alias("size"))
+    return ig.checked_put(o, o.where("doc_id % 5 = 0")).select("doc_id", "state")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 = 4")
+def manifest_keys(x):
+    v = F.encode("text", "utf-8")
+    return ig.bad_manifests(x["documents"].select("doc_id", v.alias("manifest"), F.when(F.col("doc_id") % 9 == 4, F.sha2(F.concat(v, F.lit(b"!")), 256)).otherwise(F.sha2(v, 256)).alias("key"))).select("doc_id")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part)
+    SELECT k AS key, CASE k % 8 WHEN 1 THEN 'not in the index' WHEN 2 THEN 'not in the directory' WHEN 3 THEN 'no payload' WHEN 4 THEN 'places differ' WHEN 5 THEN 'size differs' WHEN 6 THEN 'checksum differs' END AS problem FROM p WHERE k % 8 BETWEEN 1 AND 6
+    UNION ALL SELECT k, 'gap before' FROM p WHERE k % 8 = 3 AND k > 2""")
+def container_check(x):
+    from ..operators.ranking import global_rank
+
+    p = global_rank(x["part"].select(F.col("p_partkey").alias("key"), F.lit(100).cast("bigint").alias("size")), "key", "i")
+    p = p.withColumn("start", F.col("i") * 100).withColumn("crc", F.col("key") * 7)
+    k = F.col("key") % 8
+    index = p.where(k != 1).withColumn("start", F.when(k == 4, F.col("start") + 1).otherwise(F.col("start")))
+    return ig.cross_check(index, p.where(k != 2), p.where(k != 3).withColumns({"size": F.when(k == 5, F.col("size") + 1).otherwise(F.col("size")), "crc": F.when(k == 6, F.col("crc") + 1).otherwise(F.col("crc"))}))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS image, l_linenumber AS seq, CAST(l_partkey % 50 * 100 AS BIGINT) AS off, least(CAST(l_partkey % 50 * 100 + 300 AS BIGINT), 4500) AS stop FROM lineitem),
+    b AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY image ORDER BY seq, off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+    SELECT image, seq, off AS "offset", CASE WHEN off < before THEN 'backward' WHEN stop > 4400 THEN 'early end' ELSE 'ok' END AS state, CASE WHEN off >= before AND stop <= 4400 THEN greatest(stop - off, 0) END AS n FROM b""")
+def dense_reads(x):
+    r = x["lineitem"].select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 50 * 100).alias("offset"), F.lit(300).cast("bigint").alias("length"))
+    r = r.withColumn("seq", F.struct("line", "offset"))
+    return ig.dense_reads(r, F.lit(4500).cast("bigint"), F.lit(4400)).select("image", F.col("line").alias("seq"), "offset", "state", "n")
+
+
+@query("SELECT source, count(*) AS records, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CASE WHEN count(*) > 40 THEN 'records' WHEN sum(octet_length(encode(text))) > 100000 THEN 'bytes' END AS exceeds FROM documents GROUP BY source")
+def archive_limits(x):
+    return ig.within_limits(x["documents"].withColumn("n", F.octet_length(F.encode("text", "utf-8")).cast("bigint")), "source", "n", 40, 100000)
+
+
+@query("""WITH e AS (SELECT image, rn - 1 AS ordinal, s, e, kind FROM {runs}), m AS (SELECT *, CASE WHEN kind = 1 AND lag(kind) OVER w = 1 AND lag(e) OVER w = s THEN 0 ELSE 1 END AS new FROM e WHERE kind <> 0 WINDOW w AS (PARTITION BY image ORDER BY s)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY image ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT image, min(s) AS "start", max(e) AS "end", min(kind) AS kind, min(CASE WHEN kind = 2 THEN ordinal END) AS ordinal FROM g GROUP BY image, g UNION ALL SELECT image, s, e, 0, NULL FROM e WHERE kind = 0""")
+def manifest_run(x):
+    r = x["runs"]
+    e = r.where(F.col("kind") != iv.HOLE).select("image", (F.col("rn") - 1).cast("bigint").alias("ordinal"), "start", (F.col("end") - F.col("start")).alias("size"), (F.col("kind") == iv.ZERO).alias("is_zero"))
+    return ig.manifest_runs(e, r.where(F.col("kind") == iv.HOLE))
+
+
+@query('SELECT r.image, s AS "start", least(e, i.size - 1000) AS "end", kind, 5 AS "from", CASE WHEN i.size % 2048 = 0 THEN least(1029, i.size) ELSE i.size END AS "to" FROM {runs} r JOIN {images} i ON r.image = i.image WHERE s < i.size - 1000')
+def strip_and_window(x):
+    r = ig.strip_tail(x["runs"].select("image", "start", "end", "kind"), x["images"], F.col("size") - 1000)
+    w = ig.window_of(x["images"], F.lit(5), F.when(F.col("size") % 2048 == 0, 1024).otherwise(0)).select("image", "from", "to")
+    return r.join(w, "image")
+
+
+@query(f"""WITH a AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM {{access}}), h AS (SELECT w, {BUCKET} AS bucket, count(*) AS n, max(greatest(ns, 0)) AS top FROM a GROUP BY w, {BUCKET}),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY w ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY w) AS total, max(top) OVER (PARTITION BY w) AS peak FROM h),
+    q AS (SELECT c.*, m, greatest(total * m // 1000, 1) AS target FROM c, (SELECT unnest([500, 990]) AS m) x), f AS (SELECT *, row_number() OVER (PARTITION BY w, m ORDER BY bucket) AS k FROM q WHERE cum >= target),
+    b AS (SELECT *, {[0, *st.BOUNDS]}[bucket + 1] AS lo, CASE WHEN bucket < {len(st.BOUNDS)} THEN {st.BOUNDS}[bucket + 1] ELSE peak END AS hi FROM f WHERE k = 1),
+    v AS (SELECT w, m, CAST(least(lo + (hi - lo) * (target - (cum - n)) // n, peak) AS BIGINT) AS value, peak FROM b)
+    SELECT a.w AS window_start, count(*) AS ops, round(count(*) / 3600, 6) AS ops_per_s, round(sum(bytes) / 3600, 6) AS bytes_per_s, count(*) FILTER (event_id % 4 = 0) * 1000 // count(*) AS dedup_milli,
+    min(v1.value) AS p50, min(v2.value) AS p99, min(v1.peak) AS top FROM a JOIN v v1 ON v1.w = a.w AND v1.m = 500 JOIN v v2 ON v2.w = a.w AND v2.m = 990 GROUP BY a.w""")
+def window_latency(x):
+    return st.window_latency(x["access"].withColumn("dedup", F.col("event_id") % 4 == 0), "ts", "1 hour", "ns", 3600)
+
+
+@query("SELECT event_type, round(count(*) / 10.0, 6) AS ops_per_s, round(sum(bytes) / (10.0 * 1048576), 9) AS mib_per_s FROM {access} GROUP BY event_type")
+def bench_throughput(x):
+    return st.throughput(x["access"], "event_type", "bytes", 10.0)
+
+
+@query("SELECT user_id, event_id, CAST(sum(bytes) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM {access}")
+def metric_points(x):
+    return st.cumulative_points(x["access"], ["user_id"], "event_id", "bytes").select("user_id", "event_id", "total")
+
+
 # --- the relational surface: extensions beyond the operators above ---------------------------------------------------
 
 
