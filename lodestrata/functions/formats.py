@@ -24,7 +24,7 @@ LAYER_TYPES = (
 PARTITIONS = {"chunk": 1, "manifest": 2, "blob": 3}
 REQUEST_HEADER, RESPONSE_HEADER, LARGEST_FRAME = 39, 8, 4 << 20
 SALT_DOMAIN = "accelerator-salt-v1"
-GENERATION = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
+GENERATION = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 MOST_GENERATIONS = 1024
 RETRY_STATUS = (408, 429, 499, 500, 502, 503, 504, 520, 521, 522, 523, 524)
 
@@ -69,7 +69,7 @@ def parse_owner(s: Column, users: dict[str, tuple[int, int]] | None = None, grou
     users, groups = users or {}, groups or {}
 
     def look(c: Column, table: dict[str, int]) -> Column:
-        out = F.when(c.rlike("^[0-9]{1,9}$"), c.cast("int"))
+        out = F.when(c.rlike(r"^[0-9]{1,9}\z"), c.cast("int"))
         for k, v in table.items():
             out = out.when(c == k, v)
         return out
@@ -160,14 +160,14 @@ def readable_layer(media_type: Column) -> Column:
 
 def encode_refs(refs: Column, most: int = 64) -> Column:
     """An ordered list of references, each on a line; null if it is empty, too long, or has a repeated or unfit one."""
-    fit = F.forall(refs, lambda r: r.rlike(r"^[^\s#][^\r\n]*$") & (F.trim(r) == r))
+    fit = F.forall(refs, lambda r: r.rlike(r"^[^\s#][^\r\n]*\z") & (F.trim(r) == r))
     ok = (F.size(refs) > 0) & (F.size(refs) <= most) & fit & (F.size(F.array_distinct(refs)) == F.size(refs))
     return F.when(ok, F.concat(F.array_join(refs, "\n"), F.lit("\n")))
 
 
 def parse_refs(text: Column, most: int = 64) -> Column:
     """The references of such a list, in order; null if it is not exactly what encode_refs gives."""
-    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     return F.when(encode_refs(lines, most) == text, lines)
 
 
@@ -176,7 +176,7 @@ def cache_key(partition: Column, kind: Column, key: Column) -> Column:
     code = F.lit(None).cast("int")
     for name, i in PARTITIONS.items():
         code = F.when(partition == name, i).otherwise(code)
-    ok = code.isNotNull() & kind.isin(1, 2) & key.rlike("^[0-9a-f]{64}$")
+    ok = code.isNotNull() & kind.isin(1, 2) & key.rlike(r"^[0-9a-f]{64}\z")
     return F.when(ok, F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(code.cast("bigint")), 2, "0"), F.lpad(F.hex(kind.cast("bigint")), 2, "0"), key)))
 
 

@@ -33,7 +33,7 @@ def format_ns(n: Column) -> Column:
 
 
 def is_hex_key(s: Column) -> Column:
-    return s.rlike("^[0-9a-f]{64}$")
+    return s.rlike(r"^[0-9a-f]{64}\z")
 
 
 def object_path(key: Column) -> Column:
@@ -59,7 +59,7 @@ def parse_ref(s: Column) -> Column:
 
 def parse_mode(s: Column) -> Column:
     """Octal file modes with set-id and sticky bits as a number; null if not octal."""
-    return F.when(s.rlike("^[0-7]{1,5}$"), F.conv(s, 8, 10).cast("long"))
+    return F.when(s.rlike(r"^[0-7]{1,5}\z"), F.conv(s, 8, 10).cast("long"))
 
 
 def next_pow2(n: Column) -> Column:
