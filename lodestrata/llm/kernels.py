@@ -52,18 +52,27 @@ class Words:
     def hashes(self, piece: int = 1 << 19) -> np.ndarray:
         """One uint64 for each word, a function of its bytes; some `piece` bytes at once, so that little memory is held."""
         out = np.empty(len(self.start), np.uint64)
+        order = None
+        start, end = self.start, self.end
+        if len(start) and (start[1:] < start[:-1]).any():  # ranges in any order, which may overlap
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], end[order]
         i = 0
         while i < len(out):
-            j = max(int(np.searchsorted(self.end, self.start[i] + piece, side="right")), i + 1)
-            base = self.start[i]
-            s, e = self.start[i:j] - base, self.end[i:j] - base
-            buf = self.buf[base : int(self.end[j - 1])]
+            base = start[i]
+            j = int(np.searchsorted(start, base + piece, side="right"))
+            s, e = start[i:j] - base, end[i:j] - base
+            buf = self.buf[base : base + int(e.max())]
             up, down = _powers(_BASE, len(buf) + 1)
             total = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
             out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_STEP))
             i = j
-        return out
+        if order is None:
+            return out
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
 
 def tokenize(texts: pa.Array, fold: bool = False, plain: bool = False) -> Words:

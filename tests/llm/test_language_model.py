@@ -91,3 +91,13 @@ def test_contexts_grow_with_the_corpus():
 def test_many_short_texts(spark):
     rows = [(i, "a", i % 5 != 1) for i in range(9000)]
     same(spark, rows)
+
+
+def test_word_hashes_do_not_depend_on_pieces_or_order():
+    t = lm.tokenize(pa.array(["aa bb aa ccc " * 50, "bb dddd"]))
+    whole = t.hashes()
+    assert (t.hashes(piece=7) == whole).all() and whole[0] == whole[2] and len(set(whole.tolist())) == 4
+    order = np.random.default_rng(1).permutation(len(whole))
+    mixed = lm.Words(t.buf, np.concatenate([t.start[order], t.start[:3]]), np.concatenate([t.end[order], t.end[:3]]), t.first)
+    for piece in (5, 1 << 19):
+        assert (mixed.hashes(piece=piece) == np.concatenate([whole[order], whole[:3]])).all()
