@@ -60,7 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
     y = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
     y = y.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labels)  # the documented bound on training rows
     x = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(y), "_id")
-    rows = with_parts(x, "_t").select(F.array(*features()).alias("_x"), "_y").toPandas()
+    # one row for each label, however often its id occurs in `docs`: what reaches the driver is bounded by max_labels
+    rows = with_parts(x, "_t").select("_id", F.array(*features()).alias("_x"), "_y").groupBy("_id", "_y").agg(F.min("_x").alias("_x")).select("_x", "_y").toPandas()
     if rows["_y"].nunique() < 2:
         return np.zeros(len(features()) + 1)
     X = np.column_stack([np.array(rows["_x"].tolist()), np.ones(len(rows))])

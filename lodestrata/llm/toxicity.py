@@ -4,7 +4,8 @@ The kernel of two words sums, over all subsequences of three letters that both h
 three span at most five), the product of their weights, which fall with each gap: insults with inserted characters or
 gaps stay near the insult. Marks inside a word are dropped and runs of single letters are one word, so "i.d-i o t" is one.
 
-Landmarks and training words come from labelled documents; a Nyström map on the landmarks makes the kernel machine a
+The machine is trained on the words of labelled sentences, not on sentences whole: among a sentence's many subsequences an
+insult's few hardly count (README has figures of both). Landmarks and training words come from labelled documents; a Nyström map on the landmarks makes the kernel machine a
 linear one, solved exactly. Its decision for a word is again a weighted sum over the word's subsequences, so a table by
 hashed subsequence, of fixed size, is all that scoring needs. A document's score is a logistic function of its words'
 decisions (the highest ones, how many are positive, and the length), fitted on labelled documents.
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     if len(n) < 2:
         return None
-    x = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("_id")).join(F.broadcast(y), "_id").select("t", "y")
+    x = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("_id")).join(F.broadcast(y), "_id").select("t", "y", "_id")
 
     def pieces(batches):
         for b in batches:
@@ -244,9 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def feats(batches):
         for b in batches:
             f = _feature_rows(*sent.value, b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), b.column(1)], ["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), b.column(1), b.column(2)], ["f", "y", "id"])
 
-    rows = x.mapInArrow(feats, "f array<double>, y int").toPandas()
+    # one row for each label, however often its id occurs in `docs`: what reaches the driver is bounded by max_labels
+    rows = x.mapInArrow(feats, "f array<double>, y int, id long").groupBy("id", "y").agg(F.min("f").alias("f")).orderBy("id", "y").toPandas()
     f, t = np.array(rows["f"].tolist()), rows["y"].to_numpy(float)
     mean, scale = f.mean(axis=0), np.maximum(f.std(axis=0), 1e-6)
     z = np.column_stack([(f - mean) / scale, np.ones(len(f))])
@@ -261,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score), one for each row of `docs`; without a model (no labels of both kinds) every score is 0.5.
 
-    Null and empty texts are scored as texts without words. Only the text is looked at; null ids are carried, repeated
+    A very long text is cut into pieces of words that are scored together. Null and empty texts are scored as texts without words. Only the text is looked at; null ids are carried, repeated
     rows scored alike, other columns ignored; an empty table gives an empty result.
     """
     dtype = docs.schema[id_col].dataType.simpleString()
