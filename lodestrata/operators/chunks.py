@@ -76,13 +76,14 @@ def info(chunks: DataFrame, by: str = "image") -> DataFrame:
 def percentiles(rows: DataFrame, by: list[str], value: str, names: dict[str, Column]) -> DataFrame:
     """Values at given indices of the sorted values of each group; an index is an expression of n, the group's size.
 
-    Ranks come from a window, so no group's values are gathered into one row.
+    Equal values are counted first, so a window runs over the different values of a group only, and no group's values are
+    gathered into one row.
     """
     keys = by or [F.lit(0)]
-    r = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
-    r = r.withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    return r.groupBy(*by).agg(*(F.max(F.when(F.col("i") == at.cast("long"), F.col("v"))).alias(name) for name, at in names.items()))
+    c = c.withColumns({"_to": F.sum("_c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
+    return c.groupBy(*by).agg(*(F.min(F.when(F.col("_to") > at.cast("long"), F.col("v"))).alias(name) for name, at in names.items()))
 
 
 def dedup_report(chunks: DataFrame, by: str) -> DataFrame:
@@ -117,11 +118,16 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pairwise(chunks: DataFrame, by: str) -> DataFrame:
-    """For groups i < j: keys in both, and that in whole per cent of the smaller group's keys. One join on the key, of
-    distinct (group, key) pairs."""
+    """For groups i < j: keys in both, and that in whole per cent of the smaller group's keys.
+
+    Keys that the same groups hold are counted together before pairs are made, so a pair is made once for each different set
+    of groups, not for each key.
+    """
     k = chunks.where(~F.col("is_zero")).select(F.col(by).alias("g"), "key").distinct()
     n = k.groupBy("g").count()
-    p = k.alias("a").join(k.alias("b"), "key").where("a.g < b.g").groupBy(F.col("a.g").alias("i"), F.col("b.g").alias("j")).agg(F.count("*").alias("shared"))
+    sets = k.groupBy("key").agg(F.sort_array(F.collect_set("g")).alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("size(s) > 1")
+    p = sets.select("c", "s", F.posexplode("s").alias("a", "i")).select("c", "i", F.explode(F.expr("slice(s, a + 2, size(s))")).alias("j"))
+    p = p.groupBy("i", "j").agg(F.sum("c").alias("shared"))
     p = p.join(n.select(F.col("g").alias("i"), F.col("count").alias("ni")), "i").join(n.select(F.col("g").alias("j"), F.col("count").alias("nj")), "j")
     return p.select("i", "j", "shared", F.expr("shared * 100 div least(ni, nj)").alias("pct_of_smaller"), F.round(F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared")), 6).alias("jaccard"))
 
