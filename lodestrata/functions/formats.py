@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Media types of layers that can be read; names of partitions and namespaces with their codes; codes of
-#: frames; the domain of generation salts; HTTP statuses that are worth another try.
+#: frames; HTTP statuses that are worth another try.
 LAYER_TYPES = (
     "application/vnd.oci.image.layer.v1.tar",
     "application/vnd.docker.image.rootfs.diff.tar",
@@ -23,7 +23,6 @@ LAYER_TYPES = (
 )
 PARTITIONS = {"chunk": 1, "manifest": 2, "blob": 3}
 REQUEST_HEADER, RESPONSE_HEADER, LARGEST_FRAME = 39, 8, 4 << 20
-SALT_DOMAIN = "accelerator-salt-v1"
 GENERATION = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 MOST_GENERATIONS = 1024
 RETRY_STATUS = (408, 429, 499, 500, 502, 503, 504, 520, 521, 522, 523, 524)
@@ -242,9 +241,9 @@ def bench_key(i: Column, warm: int, cold: int, access: str, miss_milli: int, see
     return F.when(chance(2) * 1000 < miss_milli, warm + F.floor(chance(3) * cold)).otherwise(hot).cast("bigint")
 
 
-def generation_salt(name: Column) -> Column:
-    """The salt of a generation, null if the name is not one."""
-    return F.when(is_generation(name), F.unhex(F.sha2(F.concat(F.encode(F.lit(SALT_DOMAIN), "utf-8"), F.encode(name, "utf-8")), 256)))
+def generation_salt(name: Column, domain: str) -> Column:
+    """The salt of a generation within a domain, null if the name is not one."""
+    return F.when(is_generation(name), F.unhex(F.sha2(F.concat(F.encode(F.lit(domain), "utf-8"), F.encode(name, "utf-8")), 256)))
 
 
 def is_generation(name: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: A compressed form is used if it saves this many bytes and takes at most this share.
 LEAST_SAVED, MOST_SHARE = 4096, 0.75
@@ -52,6 +55,55 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message), 256))), 256)
 
 
+#: Fixed value: the reversed polynomial of CRC-32C.
+CASTAGNOLI = 0x82F63B78
+
+
+@F.pandas_udf(LongType())
+def crc32c(data: pd.Series) -> pd.Series:
+    """CRC-32C of binary values, a byte at a time over all rows that are long enough; null for null."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(CASTAGNOLI), t >> 1).astype(np.uint32)
+    have = data.notna().to_numpy()
+    rows = [np.frombuffer(x, np.uint8) for x in data[have]]
+    size = np.array([len(x) for x in rows], np.int64)
+    order = np.argsort(-size, kind="stable")
+    crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+    alive = len(order)
+    for j in range(int(size.max()) if len(size) else 0):
+        while alive and size[order[alive - 1]] <= j:
+            alive -= 1
+        who = order[:alive]
+        byte = np.fromiter((rows[i][j] for i in who.tolist()), np.uint32, alive)
+        crc[who] = t[(crc[who] ^ byte) & 0xFF] ^ (crc[who] >> 8)
+    out = pd.Series([None] * len(data), dtype="Int64", index=data.index)
+    out[have] = (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+    return out
+
+
+def stream_identity(domain: str, name: Column, total: Column, payload_size: Column, payload: Column, tail: Column) -> Column:
+    """The identity of a stream: a hash over its name, sizes, the commitment to its payload and the hash of its dense tail.
+
+    As payload and tail are hashed apart, a new tail gives the new identity without the payload. Each hash begins with its
+    domain (`domain`, then payload, tail or carrier). Null if the sizes do not fit together.
+    """
+    tail_hash = F.sha2(F.concat(_domain(domain, "tail"), be64(F.octet_length(tail).cast("bigint")), tail), 256)
+    n = F.encode(name, "utf-8")
+    whole = F.concat(_domain(domain, "carrier"), be64(F.octet_length(n).cast("bigint")), n, be64(total), be64(payload_size), F.unhex(payload), F.unhex(tail_hash))
+    return F.when((payload_size <= total) & (F.octet_length(tail) == total - payload_size), F.sha2(whole, 256))
+
+
+def payload_commitment(domain: str, size: Column, extents: Column, data: Column) -> Column:
+    """The commitment to a payload of `size` bytes: its stored extents (an array of structs start, end) and their bytes."""
+    places = F.transform(extents, lambda x: F.concat(F.lpad(F.hex(x["start"].cast("bigint")), 16, "0"), F.lpad(F.hex((x["end"] - x["start"]).cast("bigint")), 16, "0")))
+    return F.sha2(F.concat(_domain(domain, "payload"), be64(size.cast("bigint")), be64(F.size(extents).cast("bigint")), F.unhex(F.array_join(places, "")), data), 256)
+
+
+def _domain(domain: str, part: str) -> Column:
+    return F.lit(f"{domain}/{part}".encode() + b"\0")
+
+
 def first_owner(chunks: DataFrame, order: str = "image") -> DataFrame:
     """Each key with the least image that holds it: (key, owner, size)."""
     return chunks.where(~F.col("is_zero")).groupBy("key").agg(F.min(order).alias("owner"), F.min("size").alias("size"))

@@ -33,18 +33,33 @@ def normalize_holes(holes: DataFrame, check: bool = True) -> DataFrame:
     return coalesce_runs(h)
 
 
+#: Each level of buckets is so many times as wide as the one below; levels.
+FACTOR, LEVELS = 64, 7
+
+
 def lookup_runs(points: DataFrame, runs: DataFrame, bucket: int = 1 << 20) -> DataFrame:
-    """Rows of `points` (image, offset) with the run that holds each, null if none: an equi-join on buckets of offsets."""
-    r = runs.withColumn("_b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(`end` - 1) div {bucket}"))))
-    p = points.withColumn("_b", F.expr(f"offset div {bucket}"))
-    hit = (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end"))
-    return p.join(r, ["image", "_b"], "left").where(F.col("start").isNull() | hit).drop("_b")
+    """Rows of `points` (image, offset) with the run that holds each, null if none; runs of an image do not overlap.
+
+    An equi-join on buckets of offsets. A run goes to the level whose buckets are at least as wide as it is long, so it lies in
+    two of them at most, however long it is; a point is looked up once in each level. An image of very many runs is dealt by
+    bucket like any other.
+    """
+    n = F.col("end") - F.col("start")
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(n <= bucket * FACTOR**i, i).otherwise(level)
+    wide = F.element_at(F.lit([bucket * FACTOR**i for i in range(LEVELS)]).cast("array<bigint>"), F.col("_l") + 1)
+    r = runs.where(n > 0).withColumn("_l", level).withColumn("_w", wide)
+    r = r.withColumn("_b", F.explode(F.sequence(F.expr("start div _w"), F.expr("(`end` - 1) div _w")))).drop("_w")
+    p = points.select("image", "offset").distinct().withColumn("_l", F.explode(F.lit(list(range(LEVELS))))).withColumn("_w", wide)
+    p = p.withColumn("_b", F.expr("offset div _w")).drop("_w")
+    hit = p.join(r, ["image", "_l", "_b"]).where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end"))).drop("_l", "_b")
+    return points.join(hit, ["image", "offset"], "left")
 
 
 def hole_at(points: DataFrame, holes: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Each point with the start and end of the hole it lies in, null if it lies in none."""
-    found = lookup_runs(points, holes, bucket).where("start is not null").select("image", "offset", "start", "end")
-    return points.join(found, ["image", "offset"], "left")
+    return lookup_runs(points, holes.select("image", "start", "end"), bucket)
 
 
 def next_hole_start(points: DataFrame, holes: DataFrame) -> DataFrame:
@@ -119,6 +134,15 @@ def presence_pages(runs: DataFrame, page: int = PAGE) -> DataFrame:
     return runs.where((F.col("kind") == DATA) & (F.col("end") > F.col("start"))).select("image", pages.alias("page")).distinct()
 
 
+def presence_runs(runs: DataFrame, page: int = PAGE) -> DataFrame:
+    """The same pages as runs [first, last] of neighbouring ones, without a row for each page: (image, first, last)."""
+    w = Window.partitionBy("image").orderBy("first", "last")
+    p = runs.where((F.col("kind") == DATA) & (F.col("end") > F.col("start"))).select("image", F.expr(f"start div {page}").alias("first"), F.expr(f"(`end` - 1) div {page}").alias("last"))
+    new = (F.col("first") > F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("bigint")
+    p = p.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.groupBy("image", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+
+
 def extent_stats(runs: DataFrame) -> DataFrame:
     """By image: stored bytes, extents, and whether data reaches the end."""
     data = F.col("kind") == DATA

@@ -14,6 +14,13 @@ def generation_lookup(objects: DataFrame, wanted: DataFrame | None = None) -> Da
     return o.groupBy("key").agg(F.max_by(F.struct("generation", "ord", "size"), "ord").alias("o")).select("key", "o.*")
 
 
+def generation_search(answers: DataFrame) -> DataFrame:
+    """Answers of generations (key, ord, outcome) to a search from the newest on: the first that does not miss decides, and an
+    error stops the search: (key, ord, outcome), a miss without ord if all miss."""
+    first = F.max(F.when(F.col("outcome") != MISS, F.struct("ord", "outcome")))
+    return answers.groupBy("key").agg(first.alias("s")).select("key", F.col("s.ord").alias("ord"), F.coalesce("s.outcome", F.lit(MISS)).alias("outcome"))
+
+
 def tier_cascade(outcomes: DataFrame) -> DataFrame:
     """Look-ups (lookup, tier, outcome): the first tier that does not miss decides; none: a miss at all tiers.
 

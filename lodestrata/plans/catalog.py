@@ -324,6 +324,12 @@ def presence_pages(x):
     return iv.presence_pages(x["runs"])
 
 
+@query("""WITH p AS (SELECT image, s // 4096 AS a, (e - 1) // 4096 AS b FROM {runs} WHERE kind = 2), m AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY image ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 THEN 1 ELSE 0 END AS new FROM p),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY image ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT image, min(a) AS "first", max(b) AS "last" FROM g GROUP BY image, g""")
+def presence_runs(x):
+    return iv.presence_runs(x["runs"])
+
+
 @query("SELECT h.image, count(*) FILTER (h.s % 4096 <> 0 OR (h.e % 4096 <> 0 AND h.e <> h.size)) AS unaligned, bool_and(h.size <= 1099511627776) AS in_limit FROM {holes} h GROUP BY h.image")
 def presence_plan(x):
     return x["holes"].groupBy("image").agg(F.count_if(F.expr("start % 4096 <> 0 or (`end` % 4096 <> 0 and `end` <> size)")).alias("unaligned"), F.bool_and(F.col("size") <= (1 << 40)).alias("in_limit"))
@@ -358,6 +364,13 @@ def generation_lookup(x):
     return lk.generation_lookup(_objects(x))
 
 
+@query("SELECT l_orderkey AS key, max(l_linenumber) FILTER (l_partkey % 4 <> 0) AS ord, coalesce(arg_max(CASE l_partkey % 4 WHEN 1 THEN 'hit' WHEN 2 THEN 'error' ELSE 'hit' END, l_linenumber * 1000000 + l_partkey) FILTER (l_partkey % 4 <> 0), 'miss') AS outcome FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) t GROUP BY l_orderkey")
+def generation_search(x):
+    a = x["lineitem"].groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("ord")).agg((F.max("l_partkey") % 4).alias("k"))
+    outcome = F.when(F.col("k") == 0, "miss").when(F.col("k") == 2, "error").otherwise("hit")
+    return lk.generation_search(a.select("key", "ord", outcome.alias("outcome")))
+
+
 def _objects(x):
     return x["objects"].select(F.col("k").alias("key"), F.concat(F.lit("g"), F.col("ord").cast("string")).alias("generation"), "ord", "size")
 
@@ -482,10 +495,10 @@ def trial_medians(x):
     return m.select("event_type", F.round((F.col("a") + F.col("b")) / 2, 3).alias("median_ns"))
 
 
-@query("SELECT user_id, count(*) FILTER (event_id % 4 = 0) AS hits, count(*) FILTER (event_id % 4 = 1) AS misses, count(*) FILTER (event_id % 4 = 2) AS errors, count(*) FILTER (event_id % 4 = 3) AS fills FROM {access} GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (event_id % 5 = 0) AS hits, count(*) FILTER (event_id % 5 = 1) AS misses, count(*) FILTER (event_id % 5 = 2) AS errors, count(*) FILTER (event_id % 5 = 3) AS fills, count(*) FILTER (event_id % 5 = 4) AS cancelled FROM {access} GROUP BY user_id")
 def peer_stats(x):
-    kinds = ["hits", "misses", "errors", "fills"]
-    k = F.element_at(F.lit(kinds), (F.col("event_id") % 4 + 1).cast("int"))
+    kinds = ["hits", "misses", "errors", "fills", "cancelled"]
+    k = F.element_at(F.lit(kinds), (F.col("event_id") % 5 + 1).cast("int"))
     return x["access"].withColumn("k", k).groupBy("user_id").pivot("k", kinds).count().select("user_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in kinds))
 
 
@@ -669,10 +682,10 @@ def small_numbers(x):
     return x["part"].select("p_partkey", sc.next_pow2(F.col("p_size")).alias("pow2"), sc.align_down(p * 100, 8192).alias("aligned"), sc.retry_delay_ms(F.col("p_size") % 6 + 1).alias("delay_ms"), F.coalesce(mode, octal).alias("mode"))
 
 
-@query("SELECT event_id, CASE WHEN v >= 1000000 THEN printf('%.1fms', v / 1000000.0) WHEN v >= 1000 THEN printf('%.1fus', v / 1000.0) ELSE CAST(v AS VARCHAR) || 'ns' END AS t, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS lasting FROM (SELECT *, (event_id * 2026 + 1) % 900000001 AS v FROM {access}) a")
+@query("SELECT event_id, CASE WHEN v >= 1000000 THEN printf('%.1fms', v / 1000000.0) WHEN v >= 1000 THEN printf('%.1fus', v / 1000.0) ELSE CAST(v AS VARCHAR) || 'ns' END AS t, CASE WHEN v >= 1000000 THEN printf('%.1fM', v / 1000000.0) WHEN v >= 1000 THEN printf('%.1fk', v / 1000.0) ELSE CAST(v AS VARCHAR) END AS n, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS lasting FROM (SELECT *, (event_id * 2026 + 1) % 900000001 AS v FROM {access}) a")
 def format_times(x):
     v = (F.col("event_id") * 2026 + 1) % 900000001
-    return x["access"].select("event_id", sc.format_ns(v).alias("t"), fm.is_permanent(F.element_at(F.lit(["not_found", "timeout", "eof", "corrupt", "not_found", "eof"]), (F.col("event_id") % 6 + 1).cast("int")), F.when(F.col("event_id") % 6 == 1, False).when(F.col("event_id") % 6 == 4, True)).alias("lasting"))
+    return x["access"].select("event_id", sc.format_ns(v).alias("t"), sc.format_count(v).alias("n"), fm.is_permanent(F.element_at(F.lit(["not_found", "timeout", "eof", "corrupt", "not_found", "eof"]), (F.col("event_id") % 6 + 1).cast("int")), F.when(F.col("event_id") % 6 == 1, False).when(F.col("event_id") % 6 == 4, True)).alias("lasting"))
 
 
 # --- content-defined chunks, physical forms, reads -------------------------------------------------------------------
@@ -865,11 +878,11 @@ def wire_frames(x):
     return d.select("doc_id", F.lower(F.hex(key)).alias("cache_key"), F.octet_length("q").alias("frame_size"), F.sha2("s.value", 256).alias("value_key"), F.col("s.status").alias("status"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '/abs/f' WHEN 1 THEN '/work/rel' WHEN 2 THEN '/srv/a/img' END AS file, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE sha256(encode('accelerator-salt-v1g' || (o_orderkey % 5))) END AS salt FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '/abs/f' WHEN 1 THEN '/work/rel' WHEN 2 THEN '/srv/a/img' END AS file, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE sha256(encode('salt-v1g' || (o_orderkey % 5))) END AS salt FROM orders")
 def resolve_files(x):
     ref = sc.parse_ref(F.expr(_pick("o_orderkey % 4", ["file:///abs/f", "file://rel", "file://img@location:one", "file://img@location:gone"])))
     name = F.when(F.col("o_orderkey") % 5 == 0, "../x").otherwise(F.concat(F.lit("g"), (F.col("o_orderkey") % 5).cast("string")))
-    return x["orders"].select("o_orderkey", fm.resolve_file(ref, F.create_map(F.lit("one"), F.lit("/srv/a/")), F.lit("/work")).alias("file"), F.lower(F.hex(fm.generation_salt(name))).alias("salt"))
+    return x["orders"].select("o_orderkey", fm.resolve_file(ref, F.create_map(F.lit("one"), F.lit("/srv/a/")), F.lit("/work")).alias("file"), F.lower(F.hex(fm.generation_salt(name, "salt-v1"))).alias("salt"))
 
 
 @query("SELECT o_custkey, CASE WHEN bool_or(o_orderkey % 11 = 0) THEN 'unsafe: ..' WHEN count(DISTINCT o_orderkey % 7) < count(*) THEN 'repeated' END AS problem FROM orders GROUP BY o_custkey")

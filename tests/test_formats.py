@@ -45,5 +45,29 @@ def test_benchmark_keys(spark):
 def test_generation_salt(spark):
     import hashlib
 
-    r = one(spark, fm.generation_salt(F.lit("g1")).alias("s"), fm.generation_salt(F.lit("../g")).alias("bad"))
-    assert bytes(r.s) == hashlib.sha256(b"accelerator-salt-v1g1").digest() and r.bad is None
+    r = one(spark, fm.generation_salt(F.lit("g1"), "salt-v1").alias("s"), fm.generation_salt(F.lit("../g"), "salt-v1").alias("bad"))
+    assert bytes(r.s) == hashlib.sha256(b"salt-v1g1").digest() and r.bad is None
+
+
+def test_checksums_and_identity(spark):
+    import hashlib
+
+    from lodestrata.operators import chunks as ch
+
+    rows = [(b"123456789",), (b"",), (None,), (bytes(32),), (b"a" * 1000,)]
+    got = [r.c for r in spark.createDataFrame([(None if x is None else bytearray(x),) for (x,) in rows], "d binary").coalesce(1).select(ch.crc32c("d").alias("c")).collect()]
+    assert got[:4] == [0xE3069283, 0, None, 0x8A9136AA] and got[4] is not None
+
+    def be(n):
+        return n.to_bytes(8, "big")
+
+    payload = hashlib.sha256(b"x/payload\0" + be(10) + be(2) + be(0) + be(3) + be(6) + be(2) + b"abcde").digest()
+    tail = hashlib.sha256(b"x/tail\0" + be(4) + b"tail").digest()
+    want = hashlib.sha256(b"x/carrier\0" + be(4) + b"name" + be(14) + be(10) + payload + tail).hexdigest()
+    p = ch.payload_commitment("x", F.lit(10), F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 3), (6, 8)))), F.lit(b"abcde"))
+
+    def identity(t, total):
+        return ch.stream_identity("x", F.lit("name"), F.lit(total).cast("bigint"), F.lit(10).cast("bigint"), p, F.lit(t))
+
+    r = one(spark, identity(b"tail", 14).alias("a"), identity(b"other", 15).alias("b"), identity(b"tail", 15).alias("bad"))
+    assert r.a == want and r.b not in (None, want) and r.bad is None

@@ -55,3 +55,22 @@ def test_forward_and_fill(spark):
         reading.forward_run(ask.withColumn("limit", F.lit(0)), runs, images).collect()
     assert [r.write for r in reading.fill_holes(runs, True).orderBy("start").collect()] == ["skip", "zeros", "data", "zeros"]
     assert [r.write for r in reading.fill_holes(runs, False).orderBy("start").collect()] == ["zeros", "zeros", "data", "zeros"]
+
+
+def test_lookups_of_very_long_runs(spark):
+    """Runs from a byte to a pebibyte: each meets few buckets, and points find theirs by brute force's account."""
+    import random
+
+    from lodestrata.operators import intervals as iv
+
+    rng, runs, at = random.Random(6), [], 0
+    for i in range(60):
+        n = rng.choice([1, 100, 5000, 1 << 20, (1 << 20) + 1, 1 << 31, 1 << 40, 1 << 50])
+        if rng.random() < 0.7:
+            runs.append((1, at, at + n, i))
+        at += n
+    points = [(1, rng.choice([s, e - 1, e, s + (e - s) // 2])) for _, s, e, _ in runs for _ in range(3)] + [(1, at + 5), (2, 7), (1, 0), (1, 0)]
+    got = iv.lookup_runs(spark.createDataFrame(points, "image long, offset long"), spark.createDataFrame(runs, "image long, start long, end long, chunk int")).collect()
+    assert len(got) == len(points)
+    for r in got:
+        assert r.chunk == next((c for m, s, e, c in runs if m == r.image and s <= r.offset < e), None)
