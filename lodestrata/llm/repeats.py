@@ -244,3 +244,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (
+  SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM w) t
+), twice AS (
+  SELECT h FROM p GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT r, list(DISTINCT pos) AS ats FROM (SELECT r, unnest(range(i, i + 35)) AS pos FROM p SEMI JOIN twice USING (h)) t GROUP BY r
+), flag AS (
+  SELECT w.r, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS pos FROM w
+), kept AS (
+  SELECT f.r, string_agg(x, ' ' ORDER BY f.pos) AS t, count(*) AS n FROM flag f ANTI JOIN (SELECT r, unnest(ats) AS pos FROM gone) g ON g.r = f.r AND g.pos = f.pos GROUP BY f.r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(encode(coalesce(t, ''))) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.r = w.r
+"""

@@ -186,3 +186,30 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", scop
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _kind(k: int, pattern: str, least: int, group: int = 0) -> str:
+    return f"SELECT r, {k} AS k, {least} AS least, regexp_split_to_array(t, {_q(pattern)}) AS gs, regexp_extract_all(t, {_q(pattern)}) AS ms, regexp_extract_all(t, {_q(pattern)}, {group}) AS hs FROM d WHERE regexp_matches(t, {_q(pattern)})"
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS t FROM documents),
+raw AS ({" UNION ALL ".join((_kind(0, "(?i)" + ASSIGN, LEAST["assign"], 2), _kind(1, ACCESS, LEAST["access"]), _kind(2, HEX, LEAST["hex"]), _kind(3, ENDPOINT, 0), _kind(4, BARE, 0)))}),
+one AS (SELECT r, k, least, unnest(range(len(ms))) AS i, unnest(list_transform(gs[1:len(ms)], lambda x: length(x))) AS g, unnest(list_transform(ms, lambda x: length(x))) AS m, unnest(list_transform(hs, lambda x: length(x))) AS h FROM raw),
+at_ AS (SELECT r, k, least, h, sum(g + m) OVER (PARTITION BY r, k ORDER BY i ROWS UNBOUNDED PRECEDING) - m AS s, sum(g + m) OVER (PARTITION BY r, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM one),
+span AS (SELECT r, k, s, e, s // {SCOPE} AS b FROM at_ WHERE h >= least),
+linked AS (
+  SELECT r, k, s, e FROM span WHERE k < 3
+  UNION ALL SELECT r, k, s, e FROM span x WHERE k = 3 AND EXISTS (SELECT 1 FROM span o WHERE o.r = x.r AND o.k < 3 AND abs(o.b - x.b) <= 1)
+  UNION ALL SELECT r, k, s, e FROM span x WHERE k = 4 AND EXISTS (SELECT 1 FROM span o WHERE o.r = x.r AND o.k IN (1, 3) AND abs(o.b - x.b) <= 1)
+    AND NOT EXISTS (SELECT 1 FROM span o WHERE o.r = x.r AND o.k <= 3 AND o.s < x.e AND x.s < o.e)
+),
+said AS (SELECT r, k, s, {list(KINDS)}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM linked),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM said GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.r = d.r
+"""
