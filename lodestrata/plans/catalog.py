@@ -248,7 +248,19 @@ def compression_beneficial(x):
     return o.withColumn("beneficial", ch.beneficial(F.col("raw"), F.col("enc")))
 
 
-@query()
+HEX_KEY = "rpad(sha256(encode(source)), 128, '0')"
+
+
+def _pad(n: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(64), lambda i: printf('%02x', xor(CAST('0x' || substr({HEX_KEY}, CAST(2 * i + 1 AS INT), 2) AS INTEGER), {n}))), ''))"
+
+
+CRC_STEP = "xor(h >> 1, (h & 1) * 3988292384)"
+
+
+@query("WITH t AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda h, k: " + CRC_STEP + f""") AS c FROM (SELECT unnest(range(256)) AS i) b) x)
+    SELECT doc_id, sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(text)))) AS mac, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(text)) + 1), lambda i: CAST('0x' || hex(encode(text)[i:i]) AS BIGINT))),
+    lambda h, b: xor(h >> 8, crcs[(xor(h, b) & 255) + 1])), 4294967295) AS crc FROM documents, t""")
 def hmac_digest(x):
     d = F.encode("text", "utf-8")
     return x["documents"].select("doc_id", ch.hmac_sha256(F.unhex(F.sha2(F.encode("source", "utf-8"), 256)), d).alias("mac"), F.crc32(d).alias("crc"))
