@@ -63,7 +63,8 @@ def render(convs: DataFrame) -> DataFrame:
     chat has <|role|>, a line break, the text and <|end|> with a line break for each turn; "<|" within a role or text
     becomes "< |". n_copies counts equal conversations, of which the smallest id is reported. Turns with a null id form
     one conversation with a null id; repeated turns are turns of their own; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. A very long text is a value like any other; a rendered conversation is one value, so it has to fit a
+    row (2 GB). Turns with equal numbers are put in order in one task.
     """
     keep = cut(maximal(convs))
 

@@ -222,7 +222,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are runs without ASCII white space or punctuation, with A-Z in lower case. Null and empty texts leak nothing and items without
     words are not looked for; a repeated document or item is reported as often as it occurs (items with one id and text:
-    once). Ties between places go to the first. A null id is carried as null. Other columns are ignored.
+    once). Ties between places go to the first. A null id is carried as null. Other columns are ignored. Very long texts are
+    searched in tiles; empty tables of either kind give an empty result.
     """
     src = docs.select(F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("id"))
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("t is not null").distinct().withColumn("k", F.sha2("t", 256))

@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that can be reached over links, the document's own included. Null and empty texts
     have fingerprint zero and are linked like any other; a row with a null id takes part, and its component_id is the
     smallest id that is not null (null if there is none). Repeated rows are returned as often as they occur; other
-    columns of `docs`, whatever their names, are ignored. An empty table gives an empty result.
+    columns of `docs`, whatever their names, are ignored. An empty table gives an empty result. A very long text is taken
+    whole, in memory some ten times its size; ties at half of the shingles leave a bit unset.
     """
     each = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
