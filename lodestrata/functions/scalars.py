@@ -25,10 +25,16 @@ def format_size(n: Column) -> Column:
     return out
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal, rounded as C's %.1f: from its exact binary value, and halves to even. Java's %.1f rounds the
+    shortest decimal digits, and halves up."""
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
 def format_ns(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit("ns"))
     for size, u in ((10**3, "us"), (10**6, "ms"), (10**9, "s")):
-        out = F.when(n >= size, F.concat(F.format_string("%.1f", n / float(size)), F.lit(u))).otherwise(out)
+        out = F.when(n >= size, F.concat(one_decimal(n / float(size)), F.lit(u))).otherwise(out)
     return out
 
 
@@ -79,7 +85,7 @@ def retry_delay_ms(attempt: Column) -> Column:
 def format_count(n: Column) -> Column:
     out = n.cast("string")
     for size, u in ((10**3, "k"), (10**6, "M"), (10**9, "G")):
-        out = F.when(n >= size, F.concat(F.format_string("%.1f", n / float(size)), F.lit(u))).otherwise(out)
+        out = F.when(n >= size, F.concat(one_decimal(n / float(size)), F.lit(u))).otherwise(out)
     return out
 
 
