@@ -28,10 +28,11 @@ HOT = 48
 SEGMENTS = 16
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
+def hashes(text: bytes, width: int = 3) -> np.ndarray:
+    """Hashes of a text's shingles in order, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     stop = np.cumsum(sizes + 1) - 1
@@ -39,13 +40,21 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     k = min(width, len(words))
     starts, stops = start[: len(words) - k + 1].tolist(), stop[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero if there are none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(h)).tolist())
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    return majority(hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Rows (id, fp): one for each row of `docs`, fp the fingerprint as a signed 64-bit number."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))

@@ -3,10 +3,13 @@
 Two texts are linked if the Jaccard similarity of their sets of `width`-word shingles is at least `least`.
 
 * texts with the same set are one from the start, whatever their number;
-* each set is dealt to `BANDS` cells by the minima of `BANDS * ROWS` hash functions; a pair at similarity 0.8 misses all
-  cells with a chance of about 1 in 10,000, more similar pairs with less;
-* sets that meet in cells, in whatever number of steps, form a group. A set is sent once, to its group, and compared
-  there with the whole sets, so that links are exact; only a spanning forest of them is written.
+* each set has operator 1's fingerprint, and fingerprints that differ in at most two bits meet in operator 1's grid of
+  segments' bit counts, without exception;
+* two bits are not enough for 0.8, where about 15 % of the bits differ, so each set is also dealt to `BANDS` cells by the
+  minima of `BANDS * ROWS` hash functions; a pair at similarity 0.8 misses all cells with a chance of about 1 in 10,000,
+  more similar pairs with less;
+* sets that meet in the grid or in cells, in whatever number of steps, form a group. A set is sent once, to its group, and
+  compared there with the whole sets, so that links are exact; only a spanning forest of them is written.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, join_hot
-from .simhash import _stars, keep_first
+from .simhash import _stars, hashes, keep_first, links, majority
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -29,42 +32,34 @@ _B = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    stop = np.cumsum(sizes + 1) - 1
-    start = stop - sizes
-    k = min(width, len(words))
-    starts, stops = start[: len(words) - k + 1].tolist(), stop[k - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), np.uint64, len(starts)))
+    return np.unique(hashes(text, width))
 
 
 def key_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
 
-def cells_of(s: np.ndarray) -> np.ndarray:
+def cells_of(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The set's cells: for each band, a hash of the band and its minima."""
-    if not len(s):
+    if not len(s) or not bands:
         return np.zeros(0, np.int64)
     h = (s >> np.uint64(32)).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    a, b = _A[: bands * ROWS], _B[: bands * ROWS]
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(h), 512):
-        np.minimum(low, (h[i : i + 512] * _A + _B).min(axis=1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+        np.minimum(low, (h[i : i + 512] * a + b).min(axis=1), out=low)
+    rows = low.reshape(-1, ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, len(rows)).view(np.int64)
 
 
-def _sketch(width: int):
+def _sketch(width: int, bands: int):
     def run(batches):
         for b in batches:
             sets = [shingles(t.as_py(), width) for t in b.column(1)]
             keys = np.fromiter(map(key_of, sets), np.uint64, len(sets)).view(np.int64)
-            cells = pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), cells], ["id", "key", "cells"])
+            fps = pa.array([majority(s) if len(s) else None for s in sets], pa.uint64()).view(pa.int64())
+            cells = pa.array([cells_of(s, bands) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), fps, cells], ["id", "key", "fp", "cells"])
 
     return run
 
@@ -127,19 +122,33 @@ def _verify(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+def _grid_links(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the sets (key, fp) whose fingerprints differ in one or two bits, in whatever number of steps.
+
+    Vertices are keys and fingerprints: each linked fingerprint is joined to the least key that has it. A key that happens to
+    be another set's fingerprint makes a group larger, which the check mends.
+    """
+    hubs = cut(sets.where("fp is not null").groupBy("fp").agg(F.min("key").alias("hub")))
+    near = cut(links(hubs.select("fp")))
+    met = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return near.union(hubs.join(met, "fp").select("hub", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of `docs` whose id is not null.
 
     component_id is the smallest id that can be reached over links, the document's own included. Null and empty texts
-    are linked with each other. Rows with a null id link nothing. A very long text is one set of shingles, in memory some ten
+    are linked with each other. Rows with a null id link nothing. `bands` is at most BANDS; with none, only the grid's
+    candidates are compared. A very long text is one set of shingles, in memory some ten
     times its size; repeated rows of an id are one document; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).where("id is not null")
-    each = cut(src.mapInArrow(_sketch(width), "id long, key long, cells array<long>"))
-    sets = cut(each.groupBy("key").agg(F.min("id").alias("rep"), F.first("cells").alias("cells"), F.count("*").alias("n")))
-    cells = sets.select(F.explode("cells").alias("cell"), F.col("key").alias("fp"))
+    each = cut(src.mapInArrow(_sketch(width, bands), "id long, key long, fp long, cells array<long>"))
+    sets = cut(each.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.count("*").alias("n")))
+    cells = F.concat("cells", F.array_compact(F.array("fp")))  # sets of one fingerprint meet at it
+    cells = sets.select(F.explode(cells).alias("cell"), F.col("key").alias("fp"))
     met = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_stars, "a long, b long")
-    group = cut(connected_components(met).select(F.col("v").alias("key"), F.col("comp").alias("group")))
+    group = cut(connected_components(_grid_links(sets).union(met)).select(F.col("v").alias("key"), F.col("comp").alias("group")))
     reps = sets.join(group, "key").select(F.col("rep").alias("id")).distinct()
     whole = src.join(reps, "id", "left_semi").select("t").mapInArrow(_whole(width), "key long, set binary").join(group, "key").select("group", "key", "set")
     linked = connected_components(whole.repartition("group").sortWithinPartitions("group", "key").mapInArrow(_verify(least), "a long, b long"))
